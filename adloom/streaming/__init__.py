@@ -1,0 +1 @@
+"""No streaming operators: every job this engine covers is a batch job."""
