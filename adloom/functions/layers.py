@@ -21,7 +21,7 @@ def first_layer(slot_of: np.ndarray, p: dict[str, np.ndarray], rows, flat, n: in
     """Pre-activation of layer 1, and its dense input in embedding mode."""
     if "emb" in p:
         n_slots = slot_of[-1] + 1
-        pooled = np.zeros((n * n_slots, p["emb"].shape[1]))
+        pooled = np.zeros((n * n_slots, p["emb"].shape[1]), p["emb"].dtype)
         np.add.at(pooled, rows * n_slots + slot_of[flat], p["emb"][flat])
         dense = pooled.reshape(n, -1)
         return dense @ p["w1"] + p["b1"], dense
@@ -67,7 +67,8 @@ class Adam:
 
     def step(self, params: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> None:
         self.t += 1
-        rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        # A plain float, unlike a numpy one, leaves the arrays in single precision.
+        rate = float(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for name, g in grads.items():
             m = self.m[name] = 0.9 * self.m.get(name, 0.0) + 0.1 * g
             s = self.s[name] = 0.999 * self.s.get(name, 0.0) + 0.001 * g * g

@@ -221,7 +221,7 @@ def search_step(
     Returns it with the trace of ``(multiplier, train_loss)`` up to that first failure.
     Multipliers are tried in growing chunks; only one number per multiplier is fetched.
     """
-    curve = materialize(margin_curve(tokens, direction, k, hot), "curve")
+    curve = materialize(margin_curve(tokens, direction, k, hot).drop("instance_id"), "curve")
     trace: list[tuple[int, float]] = []
     first, size = 1, _FIRST_CHUNK
     while first <= MAX_MULTIPLIER:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from adloom.functions.columns import LOSS_FLOOR, LR_BOUND, log_loss_term, sigmoid_clamped
 from adloom.operators.lookup import HotKeys, lookup_join
+from adloom.workspace import materialize
 
 
 def attach_weights(
@@ -135,8 +136,9 @@ def loss_and_gradient(
     The gradient covers the smooth part: log loss and the l2 term. With ``mean`` both
     are divided by the number of instances.
     """
-    preds = score_linear(tokens, weights, hot=hot)
-    n = (n_instances or preds.count()) if mean else 1
+    preds = materialize(score_linear(tokens, weights, hot=hot), "preds")  # used twice
+    n_instances = n_instances or preds.count()
+    n = n_instances if mean else 1
     raw = token_gradient(tokens, preds, n_instances, hot).select("sign", "g")
     gradient = (
         dictionary.select("sign", "idx")

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from adloom.workspace import materialize
 
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 256 * 1024 * 1024
 HOT_SHARE = 1024
 
 # From the name of a key column to a frame of its hot keys.
@@ -77,10 +77,13 @@ def lookup_join(
     """
     if fits_broadcast(right, right_rows):
         return left.join(F.broadcast(right), key, how)
-    return scattered_join(left, right, key, how, hot(key) if hot else hot_keys(left, key))
+    found = hot(key) if hot else hot_keys(left, key)
+    if found.isEmpty():
+        return left.join(right, key, how)
+    return _split_join(left, materialize(right, "lookup"), key, how, found)
 
 
-def scattered_join(
+def _split_join(
     left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame
 ) -> DataFrame:
     values = [c for c in right.columns if c != key]

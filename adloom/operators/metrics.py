@@ -60,16 +60,17 @@ def evaluate(preds: DataFrame, resolution: int | None = None) -> DataFrame:
     prediction files do; loss and MAE always use the full score.
     """
     parts = _in_parts(_by_score(preds, resolution), resolution)
-    totals = parts.groupBy("part").agg(F.sum("neg").alias("neg"))
-    before = running_before(totals, "part", "neg")  # at most 1001 rows, or one per partition
     within = Window.partitionBy("part").orderBy("score")
-    below = F.coalesce(
-        F.sum("neg").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    below = F.sum("neg").over(within) - F.col("neg")
+    won = F.col("pos") * (below + 0.5 * F.col("neg"))
+    # At most 1001 rows, or one per shuffle partition, are left after this step.
+    per_part = (
+        parts.withColumn("won", won)
+        .groupBy("part")
+        .agg(*[F.sum(c).alias(c) for c in ("won", "abs_error", "loss", "n", "pos", "neg")])
     )
-    ranked = parts.withColumn("below", below).join(F.broadcast(before), "part")
-    won = F.col("pos") * (F.col("neg_before") + F.col("below") + 0.5 * F.col("neg"))
-    sums = ranked.agg(
-        F.sum(won).alias("won"),
+    sums = running_before(per_part, "part", "neg").agg(
+        F.sum(F.col("won") + F.col("pos") * F.col("neg_before")).alias("won"),
         F.sum("abs_error").alias("abs_error"),
         F.coalesce(F.sum("loss"), F.lit(0.0)).alias("loss"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n"),

@@ -34,11 +34,14 @@ def range_ordered(df: DataFrame, key: str, name: str) -> DataFrame:
     )
 
 
-def running_before(totals: DataFrame, order: str, *values: str) -> DataFrame:
-    """Sum of each value over all earlier parts. ``totals`` has one row per part."""
+def running_before(totals: DataFrame, order: str, value: str) -> DataFrame:
+    """Add ``<value>_before``, the sum over all earlier parts.
+
+    ``totals`` has one row per part, so it is small enough for one window.
+    """
     earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        order, *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}_before") for v in values]
+    return totals.withColumn(
+        f"{value}_before", F.coalesce(F.sum(value).over(earlier), F.lit(0))
     )
 
 
@@ -46,7 +49,7 @@ def dense_index(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """Distinct values of ``key`` numbered 0..n-1 in ascending order."""
     ordered = range_ordered(df.select(key).where(F.col(key).isNotNull()).distinct(), key, "dense")
     sizes = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    starts = running_before(sizes, "part", "size")  # one row per shuffle partition
+    starts = running_before(sizes, "part", "size").drop("size")
     return ordered.join(F.broadcast(starts), "part").select(
         key, (F.col("size_before") + F.col("row")).alias(name)
     )

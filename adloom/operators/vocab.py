@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from adloom.functions.columns import factor
 from adloom.operators.lookup import HotKeys, lookup_join
+from adloom.workspace import materialize
 
 VOCAB_SIZE = 10000  # fixed value
 MOVING_DECAY = 0.999  # fixed value
@@ -44,7 +45,7 @@ def build_vocabulary(
 
     Slots are numbered by their most frequent feature, features by rank in their slot.
     """
-    top = top_features(dictionary, v)
+    top = materialize(top_features(dictionary, v), "top")
     rank = Window.partitionBy("slot").orderBy(F.desc("pv"), F.asc("sign"))
     ranked = top.withColumn("feat_idx", F.row_number().over(rank) - 1)
     leaders = ranked.where(F.col("feat_idx") == 0)  # one row per slot, at most V

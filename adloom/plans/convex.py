@@ -89,7 +89,7 @@ def train_lr_l2(
     features: DataFrame,
     theta: float = THETA,
     max_iter: int = 200,
-    tol: float = 1e-10,
+    tol: float = 1e-6,
     resolution: int | None = 6,
 ) -> ConvexFit:
     """``train`` and ``evaluation`` are instance frames; ``features`` holds the signs."""
@@ -103,7 +103,7 @@ def train_lr_elastic(
     l1: float = 0.0,
     l2: float = THETA,
     max_iter: int = 200,
-    tol: float = 1e-10,
+    tol: float = 1e-6,
     resolution: int | None = 6,
 ) -> ConvexFit:
     """As ``train_lr_l2`` with an l1 term; weights that end at 0 are left out."""

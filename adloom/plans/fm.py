@@ -34,7 +34,8 @@ def init_model(
     """
     def start(i: int):
         if seed is not None:
-            return F.rand(seed + i) * scale
+            # rand() adds the partition number to its seed: keep the components far apart
+            return F.rand(seed + (i << 32)) * scale
         mixed = F.pmod(F.col("sign"), F.lit(_PRIME)).cast("bigint") * F.lit((i + 1) * _STRIDE)
         return F.pmod(mixed, F.lit(_PRIME)) / F.lit(float(_PRIME)) * scale
 

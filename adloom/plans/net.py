@@ -57,11 +57,12 @@ def new_net(
     slot_of = np.repeat(np.arange(len(sizes)), sizes)
     rng = np.random.default_rng(seed)
 
+    # Single precision, as the replaced net was.
     def spread(*shape: int) -> np.ndarray:
         x = rng.normal(size=shape)
         while (far := np.abs(x) > 2).any():
             x[far] = rng.normal(size=int(far.sum()))
-        return x * START_SPREAD
+        return (x * START_SPREAD).astype(np.float32)
 
     params: dict[str, np.ndarray] = {}
     width = len(slot_of)
@@ -70,7 +71,7 @@ def new_net(
         width = len(sizes) * embedding
     for i, size in enumerate([*hidden, 1], start=1):
         params[f"w{i}"] = spread(width, size)
-        params[f"b{i}"] = np.full((1, size), START_BIAS)
+        params[f"b{i}"] = np.full((1, size), START_BIAS, np.float32)
         width = size
     return Net(slot_of, params)
 
@@ -82,7 +83,7 @@ def _epoch_changes(shared, rate: float, size: int):
         seen, loss = 0, 0.0
         for batch in layers.minibatches(frames, size):
             rows, flat = layers.flatten(batch["idx"])
-            label = batch["label"].to_numpy(float)
+            label = batch["label"].to_numpy(params["b1"].dtype)
             batch_loss, grads = layers.gradients(slot_of, params, rows, flat, label)
             adam.step(params, grads)
             seen, loss = seen + len(batch), loss + batch_loss
@@ -92,7 +93,7 @@ def _epoch_changes(shared, rate: float, size: int):
             delta = new - start[name]
             moved = np.flatnonzero(delta.any(axis=1))
             yield pd.DataFrame(
-                {"layer": name, "row": moved.astype(np.int32), "delta": list(delta[moved]),
+                {"layer": name, "row": moved.astype(np.int32), "delta": list(delta[moved].astype(float)),
                  "weight": float(seen)}
             )
         yield pd.DataFrame(
@@ -129,7 +130,7 @@ def train_epoch(
     for r in averaged:
         if r["layer"] != "loss":
             share = r["weight"] / loss["weight"]
-            params[r["layer"]][r["row"]] += np.asarray(r["mean"]) * share
+            params[r["layer"]][r["row"]] += np.asarray(r["mean"]) * share  # keeps the dtype
     shared.unpersist()
     return Net(net.slot_of, params), loss["mean"][0]
 
@@ -162,7 +163,7 @@ def score_dnn(rows: DataFrame, net: Net) -> DataFrame:
 def net_frame(spark: SparkSession, net: Net) -> DataFrame:
     """``(layer, row, v)`` with one row per parameter row."""
     parts = [
-        pd.DataFrame({"layer": name, "row": np.arange(len(v), dtype=np.int32), "v": list(v)})
+        pd.DataFrame({"layer": name, "row": np.arange(len(v), dtype=np.int32), "v": list(v.astype(float))})
         for name, v in net.params.items()
     ]
     return spark.createDataFrame(pd.concat(parts), "layer string, row int, v array<double>")
