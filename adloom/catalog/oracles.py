@@ -350,10 +350,9 @@ SELECT instance_id, pos, sign, round(coalesce(w, 0), 6) + 0.0 AS w FROM tok LEFT
     "index_gradient": with_(*EV_STAT, KEEP, WEIGHTS, preds(), gradient(),
         "ix AS (SELECT sign, row_number() OVER (ORDER BY sign) - 1 AS idx FROM keep)")
     + "SELECT idx, round(g, 6) + 0.0 AS g FROM gr JOIN ix USING (sign)",
-    "merge_weights": with_(*EV_STAT, WEIGHTS) + """
+    "merge_weights": with_(*EV_STAT, WEIGHTS) + f"""
 SELECT coalesce(a.sign, b.sign) AS sign, round(coalesce(a.w, 0) + coalesce(b.w, 0), 6) + 0.0 AS w
-FROM (SELECT * FROM wt WHERE sign < 3000000) a
-FULL JOIN (SELECT * FROM wt WHERE sign >= 2000000) b ON a.sign = b.sign""",
+FROM wt a FULL JOIN ({with_(ORDERS_BINARY, STAT, WEIGHTS)} SELECT * FROM wt) b ON a.sign = b.sign""",
     "encode_slots": with_(*ENCODED) + "SELECT instance_id, label, slot_idx, feat_idx FROM enc",
     "feature_stat": with_(ORDERS_BINARY, STAT) + "SELECT * FROM stat",
     "feature_freq": with_(ORDERS_BINARY, FREQ) + "SELECT * FROM fq",
@@ -409,7 +408,7 @@ SELECT slot_idx, dim, round(m, 6) + 0.0 AS mean, round(s, 6) + 0.0 AS variance,
 FROM (SELECT label AS slot_idx, CAST(k AS INTEGER) AS dim, avg(CAST(x AS DOUBLE)) AS m,
         var_pop(CAST(x AS DOUBLE)) AS s FROM ({EMBED}) GROUP BY label, k)""",
     "pseudo_gradient": with_(*EV_STAT, WEIGHTS,
-        "mx AS MATERIALIZED (SELECT sign, CASE WHEN sign % 3 = 0 THEN 0 ELSE w END AS w FROM wt)",
+        "mx AS MATERIALIZED (SELECT sign, CASE WHEN abs(w) < 0.35 THEN 0 ELSE w END AS w FROM wt)",
         preds(weights="mx"), gradient()) + """
 SELECT sign, round(CASE WHEN w > 0 THEN g + 4 WHEN w < 0 THEN g - 4 WHEN g < -4 THEN g + 4
   WHEN g > 4 THEN g - 4 ELSE 0 END, 6) + 0.0 AS pg FROM gr JOIN mx USING (sign)""",
@@ -437,7 +436,8 @@ FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)"""
 SELECT {i} AS iter, (SELECT count(*) FROM p{i}) AS n_sampled,
   (SELECT count(*) FROM w{i + 1} WHERE w <> 0) AS n_saved, round(auc, 6) + 0.0 AS auc,
   round(mae, 6) + 0.0 AS mae, round(loss, 6) + 0.0 AS loss FROM h{i}""" for i in range(3)),
-    "fm_gradient": with_(*EV_FM, "mm AS MATERIALIZED (SELECT * FROM m0 WHERE sign % 7 <> 0)",
+    "fm_gradient": with_(*EV_FM, KEEP,
+        "mm AS MATERIALIZED (SELECT * FROM m0 WHERE sign IN (SELECT sign FROM keep))",
         fm_preds("tok", "mm", "pr"), fm_grad("tok", "mm", "pr", "gr"))
     + "SELECT sign, k, round(g, 5) + 0.0 AS g, round(gv, 5) + 0.0 AS gv FROM gr",
     "fm_step_search": with_(*EV_FM, fm_preds("tok", "m0", "pr"), fm_grad("tok", "m0", "pr", "gr"),

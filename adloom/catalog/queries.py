@@ -290,8 +290,8 @@ def index_gradient(spark, d):
 
 
 def merge_weights(spark, d):
-    weights = event_weights(spark, d).where(F.col("sign") < 3 * 1000000)
-    delta = event_weights(spark, d).where(F.col("sign") >= 2 * 1000000)
+    """Event and order features share some signs but not all."""
+    weights, delta = event_weights(spark, d), order_weights(order_tokens(spark, d))
     return linear.merge_weights(weights, delta).select("sign", r("w").alias("w"))
 
 
@@ -444,9 +444,12 @@ def embedding_moments(spark, d):
 
 
 def pseudo_gradient(spark, d):
+    """At weights of which the small ones have been set to 0."""
     t, weights = event_tokens(spark, d), event_weights(spark, d)
-    mixed = weights.select("sign", F.when(F.col("sign") % 3 == 0, 0.0).otherwise(F.col("w")).alias("w"))
-    mixed = materialize(mixed, "weights")
+    small = F.abs("w") < 0.35
+    mixed = materialize(
+        weights.select("sign", F.when(small, 0.0).otherwise(F.col("w")).alias("w")), "weights"
+    )
     gradient = linear.gradient_linear(t, mixed)
     return linear.pseudo_gradient(gradient, mixed, l1=4.0).select("sign", r("pg").alias("pg"))
 
@@ -540,7 +543,8 @@ def train_lr_elastic(spark, d):
 
 
 def fm_gradient(spark, d):
-    model = event_fm(spark, d).where(F.col("sign") % 7 != 0)  # some tokens have no model row
+    # Rare features have no model row.
+    model = event_fm(spark, d).join(kept_signs(spark, d), "sign", "left_semi")
     gradient = factor.fm_gradient(event_tokens(spark, d), model, FM_K)
     return factor_rows(gradient, "gv", "sign", "g").select(
         "sign", "k", r("g", 5).alias("g"), r("value", 5).alias("gv")

@@ -49,7 +49,7 @@ def sample_bucket(instance_id: Column, buckets: int) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
 
 
 def token_parts(fields: Column) -> Column:
@@ -59,8 +59,14 @@ def token_parts(fields: Column) -> Column:
 
 
 def to_sign(text: Column) -> Column:
-    """Whole numbers only; a plain decimal cast would round '12.5' into a sign."""
-    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast(SIGN_TEXT))
+    """Whole numbers only; a plain decimal cast would round '12.5' into a sign.
+
+    Only signs beyond BIGINT, and broken ones, reach the slower second branch.
+    """
+    return F.coalesce(
+        text.try_cast("bigint").cast(SIGN_TEXT),
+        F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast(SIGN_TEXT)),
+    )
 
 
 def fixed6(value: Column) -> Column:

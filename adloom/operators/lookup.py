@@ -86,25 +86,10 @@ def lookup_join(
 def _split_join(
     left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame
 ) -> DataFrame:
-    values = [c for c in right.columns if c != key]
-    packed = right.select(key, F.struct(F.lit(True).alias("found"), *values).alias("_value"))
-
-    hot_right = packed.join(F.broadcast(hot), key, "left_semi")
-    answers = hot.withColumn("_is_hot", F.lit(True)).join(F.broadcast(hot_right), key, "left")
-    marked = left.join(F.broadcast(answers), key, "left")
-
-    # Rows of hot keys, and rows without a key, never enter the shuffle.
-    no_shuffle = F.col("_is_hot").isNotNull() | F.col(key).isNull()
-    answered = marked.where(no_shuffle).drop("_is_hot")
-    rest = marked.where(~no_shuffle).drop("_is_hot", "_value").join(packed, key, "left")
-    joined = answered.unionByName(rest)
-
-    if how in ("inner", "left_semi"):
-        joined = joined.where(F.col("_value").isNotNull())
-    if how == "left_semi":
-        return joined.select(*left.columns)
-    return joined.select(
-        key,
-        *[c for c in left.columns if c != key],
-        *[F.col("_value")[c].alias(c) for c in values],
-    )
+    hot_right = right.join(F.broadcast(hot), key, "left_semi")
+    hot_left = left.join(F.broadcast(hot), key, "left_semi")
+    spread_left = left.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti")
+    if how == "left":  # rows without a key need no partner and must not shuffle together
+        hot_left = hot_left.unionByName(left.where(F.col(key).isNull()))
+    answered = hot_left.join(F.broadcast(hot_right), key, how)
+    return answered.unionByName(spread_left.join(right, key, how))

@@ -52,8 +52,8 @@ def build_vocabulary(
     order = Window.orderBy(F.desc("pv"), F.asc("sign"))
     slot_idx = leaders.select("slot", (F.row_number().over(order) - 1).alias("slot_idx"))
     sizes = ranked.groupBy("slot").agg(F.count(F.lit(1)).cast("int").alias("n_feats"))
-    slots = slot_idx.join(F.broadcast(sizes), "slot")
-    vocab = ranked.join(F.broadcast(slot_idx), "slot").select(
+    slots = slot_idx.join(sizes, "slot")
+    vocab = ranked.join(slot_idx, "slot").select(
         "sign", "slot", "pv", "slot_idx", "feat_idx"
     )
     return vocab, slots
@@ -72,11 +72,9 @@ def encode_slots(
     outside the vocabulary drop out; other rare features share their slot's last index.
     The three tables meet per feature first, so tokens are joined once.
     """
-    codes = (
-        dictionary.select("sign", "slot")
-        .join(F.broadcast(slots), "slot")
-        .join(F.broadcast(vocab.select("sign", "feat_idx")), "sign", "left")
-        .select("sign", "slot_idx", F.coalesce("feat_idx", "n_feats").alias("feat_idx"))
+    in_slots = lookup_join(dictionary.select("sign", "slot"), slots, "slot", "inner")
+    codes = lookup_join(in_slots, vocab.select("sign", "feat_idx"), "sign").select(
+        "sign", "slot_idx", F.coalesce("feat_idx", "n_feats").alias("feat_idx")
     )
     return lookup_join(
         tokens.select("instance_id", "label", "sign"), codes, "sign", "inner", hot=hot
@@ -105,7 +103,7 @@ def index_rows(encoded: DataFrame, slots: DataFrame) -> DataFrame:
 
     Positions are distinct and below V + number of slots, which bounds the array.
     """
-    flat = encoded.join(F.broadcast(slot_offsets(slots)), "slot_idx").withColumn(
+    flat = lookup_join(encoded, slot_offsets(slots), "slot_idx", "inner").withColumn(
         "at", F.col("offset") + F.col("feat_idx")
     )
     return flat.groupBy("instance_id").agg(
@@ -126,15 +124,16 @@ def pool_embeddings(
     adds its row again unless ``dedupe``. Every instance gets all slots through rows of
     zeros that join the same sum.
     """
-    keys = ["slot_idx", "feat_idx"]
-    tokens = encoded.select("instance_id", *keys)
+    cell = F.shiftleft(F.col("slot_idx").cast("bigint"), 32) + F.col("feat_idx")
+    tokens = encoded.select("instance_id", "slot_idx", cell.alias("cell"))
     if dedupe:
         tokens = tokens.distinct()
     columns = [f"v{i}" for i in range(size)]
     table = embedding.select(
-        *keys, *[factor(F.col("v"), i).cast("double").alias(c) for i, c in enumerate(columns)]
+        cell.alias("cell"),
+        *[factor(F.col("v"), i).cast("double").alias(c) for i, c in enumerate(columns)],
     )
-    found = tokens.join(F.broadcast(table), keys).select("instance_id", "slot_idx", *columns)
+    found = lookup_join(tokens, table, "cell", "inner").select("instance_id", "slot_idx", *columns)
     zeros = (
         encoded.select("instance_id")
         .distinct()

@@ -76,19 +76,17 @@ def order_tokens(spark: SparkSession, sf_dir: str, label_mode: str = "binary") -
     label = (
         F.col("clicks").cast("int") if label_mode == "raw" else binarize_label(F.col("clicks"))
     )
-    tokens = lines.select(
-        "instance_id",
-        F.explode(
-            F.array(
-                F.struct(slot_sign(1, F.col("l_suppkey")).alias("sign"), F.lit(1).alias("slot")),
-                F.struct(slot_sign(2, F.col("quantity")).alias("sign"), F.lit(2).alias("slot")),
-            )
-        ).alias("f"),
-    ).select("instance_id", "f.sign", "f.slot")
     headers = totals.withColumn("label", label)
-    return lookup_join(
-        tokens, headers, "instance_id", "inner", right_rows=lines.count()
-    ).where(F.col("sign").isNotNull())
+    labelled = lookup_join(lines, headers, "instance_id", "inner", right_rows=lines.count())
+    feats = F.array(
+        F.struct(slot_sign(1, F.col("l_suppkey")).alias("sign"), F.lit(1).alias("slot")),
+        F.struct(slot_sign(2, F.col("quantity")).alias("sign"), F.lit(2).alias("slot")),
+    )
+    return (
+        labelled.select("instance_id", "shows", "clicks", "label", F.explode(feats).alias("f"))
+        .select("instance_id", "shows", "clicks", "label", "f.sign", "f.slot")
+        .where(F.col("sign").isNotNull())
+    )
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
