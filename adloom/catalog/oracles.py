@@ -362,7 +362,7 @@ SELECT * FROM ({with_(ORDERS_BINARY, STAT, KEEP)} SELECT sign FROM keep)""",
     "count_instances": "SELECT count(*) AS n FROM events",
     "score_linear": EV_PRED + "SELECT instance_id, label, round(p, 6) + 0.0 AS p FROM pr",
     "gradient_linear": with_(ORDERS_RAW, STAT, WEIGHTS, preds(), gradient())
-    + "SELECT sign, round(g, 6) + 0.0 AS g FROM gr",
+    + "SELECT sign, round(g, 2) + 0.0 AS g FROM gr",
     "sum_vectors": f"""
 SELECT label, CAST(k AS INTEGER) AS k, round(sum(CAST(x AS DOUBLE)), 4) + 0.0 AS total
 FROM ({EMBED}) GROUP BY label, k""",

@@ -338,7 +338,7 @@ def score_linear(spark, d):
 
 def gradient_linear(spark, d):
     t = order_tokens(spark, d, "raw")
-    return linear.gradient_linear(t, order_weights(t)).select("sign", r("g").alias("g"))
+    return linear.gradient_linear(t, order_weights(t)).select("sign", r("g", 2).alias("g"))
 
 
 def sum_vectors(spark, d):
@@ -367,9 +367,8 @@ def train_dictionary(spark, d):
     return vocab.train_dictionary(event_tokens(spark, d))
 
 
-def slot_embedding(spark, d) -> DataFrame:
+def slot_embedding(slots: DataFrame) -> DataFrame:
     """Two numbers per vocabulary index, the last index of each slot included."""
-    _, slots = encoded_events(spark, d)
     return slots.select(
         "slot_idx", F.explode(F.sequence(F.lit(0), F.col("n_feats"))).alias("feat_idx")
     ).withColumn(
@@ -381,13 +380,10 @@ def slot_embedding(spark, d) -> DataFrame:
     )
 
 
-def pooled_events(spark, d):
-    encoded, slots = encoded_events(spark, d)
-    return vocab.pool_embeddings(encoded, slot_embedding(spark, d), slots.count(), 2)
-
-
 def pool_embeddings(spark, d):
-    return factor_rows(pooled_events(spark, d), "v", "instance_id", "slot_idx").select(
+    encoded, slots = encoded_events(spark, d)
+    pooled = vocab.pool_embeddings(encoded, slot_embedding(slots), slots.count(), 2)
+    return factor_rows(pooled, "v", "instance_id", "slot_idx").select(
         "instance_id", "slot_idx", "k", r("value").alias("value")
     )
 

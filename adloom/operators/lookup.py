@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from adloom.workspace import materialize
 
 BROADCAST_BYTES = 256 * 1024 * 1024
-HOT_SHARE = 1024
+LEAST_SHARE = 1024
 
 # From the name of a key column to a frame of its hot keys.
 HotKeys = Callable[[str], DataFrame]
@@ -55,11 +55,17 @@ def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     return total <= _limit(df)
 
 
+def hot_share(df: DataFrame) -> int:
+    """A key is hot above one part in this many; fewer keys than this can be."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(LEAST_SHARE, partitions)
+
+
 def hot_keys(left: DataFrame, key: str) -> DataFrame:
-    """Keys holding more than 1/1024 of the rows; never more than 1023 of them."""
-    total = left.count()
+    """Keys that would outgrow a shuffle partition."""
+    total, share = left.count(), hot_share(left)
     counts = left.where(F.col(key).isNotNull()).groupBy(key).count()
-    return materialize(counts.where(F.col("count") * HOT_SHARE > total).select(key), "hot")
+    return materialize(counts.where(F.col("count") * share > total).select(key), "hot")
 
 
 def lookup_join(

@@ -19,7 +19,10 @@ from adloom.operators.metrics import evaluate
 from adloom.operators.tokens import explode_tokens
 from adloom.plans.training import Fit, history_frame
 
-THETA = 4.0  # fixed value
+# The replaced jobs' decay and stopping tolerances.
+THETA = 4.0
+TOL_L2 = 1e-5
+TOL_ELASTIC = 1e-4
 
 
 @dataclass
@@ -89,7 +92,7 @@ def train_lr_l2(
     features: DataFrame,
     theta: float = THETA,
     max_iter: int = 200,
-    tol: float = 1e-6,
+    tol: float = TOL_L2,
     resolution: int | None = 6,
 ) -> ConvexFit:
     """``train`` and ``evaluation`` are instance frames; ``features`` holds the signs."""
@@ -103,7 +106,7 @@ def train_lr_elastic(
     l1: float = 0.0,
     l2: float = THETA,
     max_iter: int = 200,
-    tol: float = 1e-6,
+    tol: float = TOL_ELASTIC,
     resolution: int | None = 6,
 ) -> ConvexFit:
     """As ``train_lr_l2`` with an l1 term; weights that end at 0 are left out."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.functions.columns import sample_bucket
-from adloom.operators.lookup import HOT_SHARE, HotKeys
+from adloom.operators.lookup import HotKeys, hot_share
 from adloom.schema import HISTORY
 from adloom.workspace import materialize
 
@@ -45,13 +45,13 @@ class TrainingTokens:
         return Part(self.tokens.where(in_bucket).drop("bucket"), self.sizes[bucket], hot)
 
     def _hot_table(self, key: str) -> DataFrame:
-        """Keys holding more than 1/1024 of their bucket's tokens, found once when first
-        needed: at most 1023 per bucket."""
+        """Keys that outgrow a shuffle partition of their bucket, found once when first
+        needed."""
         if key not in self._hot:
             per_key = self.tokens.groupBy("bucket", key).count()
             totals = self.tokens.groupBy("bucket").agg(F.count(F.lit(1)).alias("total"))
             hot = per_key.join(F.broadcast(totals), "bucket").where(
-                F.col("count") * HOT_SHARE > F.col("total")
+                F.col("count") * hot_share(self.tokens) > F.col("total")
             )
             self._hot[key] = materialize(hot.select("bucket", key), "hot")
         return self._hot[key]
@@ -60,15 +60,15 @@ class TrainingTokens:
 def lay_out(tokens: DataFrame, rate: float = 1.0) -> TrainingTokens:
     """Write ``(instance_id, label, sign)`` by sample bucket.
 
-    The rebalance hint gathers a bucket into few files and splits a bucket that
-    outgrows a task.
+    The rebalance hint gathers what belongs together, so that scores combine before
+    their shuffle in every iteration, and splits whatever outgrows a task.
     """
     buckets = round(1 / rate)
     bucketed = tokens.select("instance_id", "label", "sign").withColumn(
         "bucket", sample_bucket(F.col("instance_id"), buckets)
     )
-    if buckets > 1:
-        bucketed = bucketed.hint("rebalance", "bucket")
+    together = "bucket" if buckets > 1 else "instance_id"
+    bucketed = bucketed.hint("rebalance", together).sortWithinPartitions("bucket", "instance_id")
     written = materialize(bucketed, "tokens", ("bucket",))
     counts = (
         written.select("bucket", "instance_id").distinct().groupBy("bucket").count().collect()
