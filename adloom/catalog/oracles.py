@@ -275,7 +275,8 @@ SELECT instance_id, label, round(1 / (1 + exp(-({z}))), 6) + 0.0 AS p FROM (
     SELECT instance_id, max(label) AS label, {sums} FROM (
       SELECT instance_id, slot_idx, max(label) AS label,
         sum(((slot_idx * 31 + feat_idx * 17) % 23 - 11) / 10.0) AS h
-      FROM (SELECT DISTINCT instance_id, label, slot_idx, feat_idx FROM enc)
+      FROM ev LEFT JOIN (SELECT DISTINCT instance_id, slot_idx, feat_idx FROM enc)
+        USING (instance_id)
       GROUP BY instance_id, slot_idx)
     GROUP BY instance_id))"""
 
@@ -374,7 +375,7 @@ FROM ({EMBED}) GROUP BY label, k""",
     "train_dictionary": with_(EVENTS, DICTIONARY.format(tokens="tok")) + "SELECT sign, slot, pv FROM dict",
     "pool_embeddings": with_(*ENCODED) + """
 SELECT instance_id, slot_idx, k, round(coalesce(sum(x), 0), 6) + 0.0 AS value
-FROM (SELECT instance_id, slot_idx, k FROM (SELECT DISTINCT instance_id FROM enc),
+FROM (SELECT instance_id, slot_idx, k FROM (SELECT instance_id FROM ev),
     (SELECT slot_idx FROM slots), (SELECT CAST(unnest([0, 1]) AS INTEGER) AS k))
 LEFT JOIN (
   SELECT instance_id, slot_idx, 0 AS k, ((slot_idx * 31 + feat_idx * 17) % 23 - 11) / 10.0 AS x FROM enc

@@ -382,7 +382,9 @@ def slot_embedding(slots: DataFrame) -> DataFrame:
 
 def pool_embeddings(spark, d):
     encoded, slots = encoded_events(spark, d)
-    pooled = vocab.pool_embeddings(encoded, slot_embedding(slots), slots.count(), 2)
+    pooled = vocab.pool_embeddings(
+        encoded, slot_embedding(slots), event_instances(spark, d), slots.count(), 2
+    )
     return factor_rows(pooled, "v", "instance_id", "slot_idx").select(
         "instance_id", "slot_idx", "k", r("value").alias("value")
     )
@@ -571,7 +573,7 @@ def train_fm(spark, d):
 
 def _net_data(spark, d):
     encoded, slots = encoded_events(spark, d)
-    rows = materialize(vocab.index_rows(encoded, slots), "rows")
+    rows = materialize(vocab.index_rows(encoded, slots, event_instances(spark, d)), "rows")
     return *tokens.split_train_eval(rows), slots
 
 
@@ -600,7 +602,7 @@ def fixed_net(slots: DataFrame) -> net.Net:
 
 def score_dnn(spark, d):
     encoded, slots = encoded_events(spark, d)
-    rows = vocab.index_rows(encoded, slots)
+    rows = vocab.index_rows(encoded, slots, event_instances(spark, d))
     return net.score_dnn(rows, fixed_net(slots)).select("instance_id", "label", r("p").alias("p"))
 
 

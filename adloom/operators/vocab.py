@@ -98,15 +98,18 @@ def slot_offsets(slots: DataFrame) -> DataFrame:
     )
 
 
-def index_rows(encoded: DataFrame, slots: DataFrame) -> DataFrame:
+def index_rows(encoded: DataFrame, slots: DataFrame, instances: DataFrame) -> DataFrame:
     """``(instance_id, label, idx)``: one row per instance with its distinct positions.
 
-    Positions are distinct and below V + number of slots, which bounds the array.
+    Positions are distinct and below V + number of slots, which bounds the array. It is
+    empty for ``instances`` (instance_id, label) of which nothing was encoded.
     """
     flat = lookup_join(encoded, slot_offsets(slots), "slot_idx", "inner").withColumn(
         "at", F.col("offset") + F.col("feat_idx")
     )
-    return flat.groupBy("instance_id").agg(
+    columns = ["instance_id", "label", "at"]
+    everyone = instances.withColumn("at", F.lit(None).cast("int")).select(columns)
+    return flat.select(columns).unionByName(everyone).groupBy("instance_id").agg(
         F.max("label").alias("label"), F.array_sort(F.collect_set("at")).alias("idx")
     )
 
@@ -114,6 +117,7 @@ def index_rows(encoded: DataFrame, slots: DataFrame) -> DataFrame:
 def pool_embeddings(
     encoded: DataFrame,
     embedding: DataFrame,
+    instances: DataFrame,
     n_slots: int,
     size: int,
     dedupe: bool = False,
@@ -121,8 +125,8 @@ def pool_embeddings(
     """``(instance_id, slot_idx, v)``: summed embedding rows; zeros for silent slots.
 
     ``embedding`` is ``(slot_idx, feat_idx, v)`` over the vocabulary. A repeated token
-    adds its row again unless ``dedupe``. Every instance gets all slots through rows of
-    zeros that join the same sum.
+    adds its row again unless ``dedupe``. All of ``instances`` get all slots through rows
+    of zeros that join the same sum.
     """
     cell = F.shiftleft(F.col("slot_idx").cast("bigint"), 32) + F.col("feat_idx")
     tokens = encoded.select("instance_id", "slot_idx", cell.alias("cell"))
@@ -134,14 +138,10 @@ def pool_embeddings(
         *[factor(F.col("v"), i).cast("double").alias(c) for i, c in enumerate(columns)],
     )
     found = lookup_join(tokens, table, "cell", "inner").select("instance_id", "slot_idx", *columns)
-    zeros = (
-        encoded.select("instance_id")
-        .distinct()
-        .select(
-            "instance_id",
-            F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot_idx"),
-            *[F.lit(0.0).alias(c) for c in columns],
-        )
+    zeros = instances.select(
+        "instance_id",
+        F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot_idx"),
+        *[F.lit(0.0).alias(c) for c in columns],
     )
     summed = (
         found.unionByName(zeros)

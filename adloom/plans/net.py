@@ -92,6 +92,8 @@ def _epoch_changes(shared, rate: float, size: int):
         for name, new in params.items():
             delta = new - start[name]
             moved = np.flatnonzero(delta.any(axis=1))
+            if not len(moved):
+                continue
             yield pd.DataFrame(
                 {"layer": name, "row": moved.astype(np.int32), "delta": list(delta[moved].astype(float)),
                  "weight": float(seen)}

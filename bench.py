@@ -74,7 +74,7 @@ def jobs(spark: SparkSession, d: str):
     table, slots = vocab.build_vocabulary(dictionary)
     slots = materialize(slots, "slots")
     encoded = vocab.encode_slots(tokens.explode_tokens(kept), dictionary, table, slots)
-    rows = materialize(vocab.index_rows(encoded, slots), "rows")
+    rows = materialize(vocab.index_rows(encoded, slots, kept), "rows")
     start = net.new_net(slots)
     yield "net_epoch", lambda: net.train_epoch(tokens.shuffle_instances(rows, 0), start)
     yield "net_score", lambda: drain(net.score_dnn(rows, start))

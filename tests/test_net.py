@@ -83,6 +83,17 @@ def test_training_learns(spark, slots, mode):
     assert metrics.auc(nets.score_dnn(data(spark, 200, seed=9), fit.net)).first().auc > 0.9
 
 
+def test_an_instance_without_known_features_is_scored(spark, slots):
+    df = spark.createDataFrame([(1, 0, []), (2, 1, [0])], "instance_id long, label int, idx array<int>")
+    for mode in ("embedding", "discrete"):
+        net = nets.new_net(slots, mode, hidden=(4, 3))
+        u, c = nets.fold(net)
+        z = np.maximum(net.params["b1"][0], 0) @ u + c
+        got = {r.instance_id: r.p for r in nets.score_dnn(df, net).collect()}
+        assert got[1] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+        nets.train_epoch(df, net)
+
+
 def test_minibatches_cross_frames():
     frames = [pd.DataFrame({"x": range(a, b)}) for a, b in ((0, 5), (5, 6), (6, 17))]
     sizes = [len(b) for b in layers.minibatches(iter(frames), 4)]

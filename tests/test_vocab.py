@@ -53,15 +53,19 @@ def test_encoding(spark, built):
     assert sorted(tuple(r) for r in encoded.collect()) == [(8, 1, 0, 0), (8, 1, 1, 1), (9, 0, 1, 0), (9, 0, 1, 0)]
     active = {(r.instance_id, r.slot_idx): r.active for r in vocab.multi_hot(encoded).collect()}
     assert active == {(8, 0): [0], (8, 1): [1], (9, 1): [0]}
-    rows = {r.instance_id: (r.label, r.idx) for r in vocab.index_rows(encoded, built[2]).collect()}
-    assert rows == {8: (1, [0, 3]), 9: (0, [2])}
+    everyone = spark.createDataFrame([(8, 1), (9, 0), (10, 1)], "instance_id long, label int")
+    rows = {r.instance_id: (r.label, r.idx) for r in vocab.index_rows(encoded, built[2], everyone).collect()}
+    assert rows == {8: (1, [0, 3]), 9: (0, [2]), 10: (1, [])}  # 10 has nothing known
     embedding = spark.createDataFrame(
         [(0, 0, [1.0]), (0, 1, [2.0]), (1, 0, [5.0]), (1, 1, [7.0])], "slot_idx int, feat_idx int, v array<double>"
     )
     def pooled(dedupe):
-        out = vocab.pool_embeddings(encoded, embedding, 2, 1, dedupe).collect()
+        out = vocab.pool_embeddings(encoded, embedding, everyone, 2, 1, dedupe).collect()
         return {(r.instance_id, r.slot_idx): r.v for r in out}
-    assert pooled(False) == {(8, 0): [1.0], (8, 1): [7.0], (9, 0): [0.0], (9, 1): [10.0]}
+    assert pooled(False) == {
+        (8, 0): [1.0], (8, 1): [7.0], (9, 0): [0.0], (9, 1): [10.0],
+        (10, 0): [0.0], (10, 1): [0.0],
+    }
     assert pooled(True)[(9, 1)] == [5.0]
 
 
