@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import mixing, urls
+from adloom.llm import linededup, mixing, urls
 
 
 def _mix() -> str:
@@ -69,4 +69,33 @@ SELECT page_id, hosts.host, hosts.path, best.rule AS rule, coalesce(best.verdict
 FROM hosts JOIN fit ON hosts.host = fit.host AND hosts.path = fit.path"""
 
 
-ORACLES: dict[str, str] = {"op2_mix": _mix(), "op4_urls": _urls()}
+def _lines() -> str:
+    return f"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+line AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM split),
+counted AS (
+  SELECT doc_id, lines, i, len(regexp_extract_all(lines[i], '[^\\x20\\x09-\\x0D]+')) AS w FROM line),
+summed AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM counted),
+fit AS (
+  SELECT a.doc_id, a.i AS first, b.i AS last
+  FROM summed a JOIN summed b ON a.doc_id = b.doc_id AND a.i <= b.i AND b.upto - a.upto + a.w >= {linededup.MIN_WORDS}),
+window_ AS (
+  SELECT doc_id, first, min(last) AS last FROM fit GROUP BY doc_id, first
+  UNION SELECT doc_id, max(first), last FROM fit GROUP BY doc_id, last),
+named AS (
+  SELECT w.doc_id, first, last, array_to_string(lines[first:last], chr(10)) AS run
+  FROM window_ w JOIN split s ON w.doc_id = s.doc_id),
+kept AS (SELECT run, min((doc_id, first)) AS place FROM named GROUP BY run),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i
+  FROM named n JOIN kept k ON n.run = k.run AND (n.doc_id, n.first) <> k.place),
+rest AS (
+  SELECT c.doc_id, string_agg(lines[c.i], chr(10) ORDER BY c.i) FILTER (g.i IS NULL) AS text,
+         CAST(count(g.i) AS INT) AS removed_lines
+  FROM counted c LEFT JOIN gone g ON c.doc_id = g.doc_id AND c.i = g.i GROUP BY c.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(r.text, '') END AS text,
+       coalesce(r.removed_lines, 0) AS removed_lines
+FROM documents d LEFT JOIN rest r ON d.doc_id = r.doc_id"""
+
+
+ORACLES: dict[str, str] = {"op2_mix": _mix(), "op4_urls": _urls(), "op8_lines": _lines()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adloom.llm import bpe, mixing, shards, simhash, token_counts, urls
+from adloom.llm import bpe, linededup, minhash, mixing, shards, simhash, token_counts, urls
 
 SHARDS = 8
 
@@ -37,10 +37,19 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(documents, removed="removed_lines")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_shards, op2_mix, op4_urls, op5_token_counts, op6_simhash, op10_bpe)
+    f.__name__: f for f in (op1_shards, op2_mix, op4_urls, op5_token_counts, op6_simhash, op7_minhash, op8_lines, op10_bpe)
 }
