@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adloom.llm import bpe, linededup, minhash, mixing, shards, simhash, token_counts, urls
+from adloom.llm import bpe, linededup, minhash, mixing, multi_index, shards, simhash, token_counts, toxicity, urls
 
 SHARDS = 8
 
@@ -25,6 +25,10 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"))
 
@@ -46,10 +50,18 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(documents, removed="removed_lines")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_shards, op2_mix, op4_urls, op5_token_counts, op6_simhash, op7_minhash, op8_lines, op10_bpe)
+    f.__name__: f
+    for f in (
+        op1_shards, op2_mix, op3_neighbours, op4_urls, op5_token_counts,
+        op6_simhash, op7_minhash, op8_lines, op9_toxicity, op10_bpe,
+    )
 }
