@@ -21,19 +21,23 @@ Decoding joins the labels of the arcs.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encoded words and arcs that a task remembers; each memory is emptied when it is full.
-REMEMBERED_WORDS = 600_000
-REMEMBERED_ARCS = 1_500_000
+from adloom.llm.common import Memory
+
+#: Encoded words (in each of two generations) and arcs that a task remembers.
+REMEMBERED_WORDS = 150_000
+REMEMBERED_ARCS = 250_000
 LONGEST_KEPT = 64
+_SLICE = 128  # rows that are encoded before they are passed on
 
 # Fixed value: the pattern that splits text ahead of the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -69,21 +73,23 @@ class Automaton:
                 reach = time + (u == v)
                 self.entries[w] = ((w, forever), *((t, min(reach, until)) for t, until in self.entries[u]))
                 self.lost[u * self.size + v] = time
-        #: Bytes of tokens with an arc, and of the beginnings of such tokens (None).
-        self.step: dict[bytes, int | None] = {}
-        for i in self.exits:
-            text = self.label[i]
-            for n in range(1, len(text)):
-                self.step.setdefault(text[:n], None)
-            self.step[text] = i
+        #: A trie of the labels: (node, byte) as one number -> node; and the token at a node.
+        self.trie: dict[int, int] = {}
+        self.ends: list[int] = [-1]
         #: The longest token that begins each token, -1 where none does.
-        self.shorter = {i: self._shorter(self.label[i]) for i in self.exits}
+        self.shorter: dict[int, int] = {}
+        for i in sorted(self.exits, key=lambda t: len(self.label[t])):
+            node, begins = 0, -1
+            for byte in self.label[i]:
+                begins = max(begins, self.ends[node], key=lambda t: len(self.label[t]) if t >= 0 else 0)
+                if (next_ := self.trie.get(node << 8 | byte)) is None:
+                    next_ = self.trie[node << 8 | byte] = len(self.ends)
+                    self.ends.append(-1)
+                node = next_
+            self.ends[node], self.shorter[i] = i, begins
         self.split = regex.compile(PATTERN)
         self.mark = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, bytes] = {}
-
-    def _shorter(self, text: bytes) -> int:
-        return next((t for n in range(len(text) - 1, 0, -1) if (t := self.step[text[:n]]) is not None), -1)
+        self.known = Memory(self.word, REMEMBERED_WORDS, LONGEST_KEPT)
 
     def _arc(self, u: int, v: int) -> bool:
         """Whether the state that u leads to has an arc v."""
@@ -106,14 +112,13 @@ class Automaton:
 
     def longest(self, word: bytes, at: int) -> int:
         """The longest token that ``word`` has at a position."""
-        step, end, found = self.step, at + 1, -1
-        while end <= len(word):
-            token = step.get(word[at:end], -1)
-            if token is not None:
-                if token < 0:
-                    break
+        trie, ends, node, found = self.trie, self.ends, 0, -1
+        for byte in word[at:]:
+            node = trie.get(node << 8 | byte)
+            if node is None:
+                break
+            if (token := ends[node]) >= 0:
                 found = token
-            end += 1
         return found
 
     def path(self, word: bytes) -> list[int]:
@@ -145,17 +150,11 @@ class Automaton:
 
     def word(self, word: str) -> bytes:
         """Ids of a word as little-endian 32-bit integers."""
-        found = self.known.get(word)
-        if found is None:
-            found = np.array(self.path(word.encode()), "<u4").tobytes()
-            if len(word) <= LONGEST_KEPT:
-                if len(self.known) >= REMEMBERED_WORDS:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+        ids = self.path(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def plain(self, text: str) -> bytes:
-        return b"".join(map(self.word, self.split.findall(text)))
+        return b"".join(self.known.all(self.split.findall(text)))
 
     def encode(self, text: str) -> bytes:
         """All ids; strings of special tokens inside a text become those tokens."""
@@ -163,7 +162,7 @@ class Automaton:
             return self.plain(text)
         out, at = [], 0
         for m in self.mark.finditer(text):
-            out += [self.plain(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
+            out += [self.plain(text[at : m.start()]), struct.pack("<I", self.special[m[0]])]
             at = m.end()
         return b"".join([*out, self.plain(text[at:])])
 
@@ -185,15 +184,18 @@ def encode(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     with open(vocabulary_path, "rb") as f:
         vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
 
-    @F.pandas_udf("ids binary, decoded string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _automaton(vocabulary.value)
-        for texts in batches:
-            ids = [bpe.encode(t) for t in texts]
-            yield pd.DataFrame({"ids": ids, "decoded": [bpe.decode(i) for i in ids]})
-
-    coded = documents.select("doc_id", run(F.coalesce(F.col("text"), F.lit(""))).alias("c"))
-    return coded.select("doc_id", "c.ids", "c.decoded")
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):  # results are as large as the texts
+                part = batch.slice(at, _SLICE)
+                ids = [bpe.encode(t) for t in part.column(1).to_pylist()]
+                columns = [part.column(0), pa.array(ids, pa.binary()), pa.array(map(bpe.decode, ids), pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
+
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", text).mapInArrow(run, f"doc_id {id_type}, ids binary, decoded string")
 
 
 def digest(documents: DataFrame, vocabulary_path: str) -> DataFrame:

@@ -53,3 +53,31 @@ def ordered_rows(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
 def uniform(*columns: Column | str) -> Column:
     """A number in [0, 1) that depends on ``columns`` alone."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+class Memory:
+    """Results of a pure function, for as many keys as two generations hold.
+
+    When the young generation is full it becomes the old one, and the old one is dropped;
+    what is asked for again moves up. Frequent keys stay, and the size is bounded.
+    """
+
+    def __init__(self, function, size: int, longest: int):
+        self.function, self.size, self.longest = function, size, longest
+        self.young, self.old = {}, {}
+
+    def one(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.function(key)
+            if len(key) <= self.longest:
+                if len(self.young) >= self.size:
+                    self.young, self.old = {}, self.young
+                self.young[key] = found
+        return found
+
+    def all(self, keys: list) -> list:
+        found = list(map(self.young.get, keys))
+        return list(map(self.one, keys)) if None in found else found

@@ -27,7 +27,7 @@ PERMUTATIONS = 128
 BAND_ROWS = 4
 SIMILARITY = 0.8
 #: Word hashes that a task remembers; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 LONGEST_KEPT = 64
 _BLOCK = 256  # shingles that are permuted at once, so that they stay in the cache
 

@@ -20,8 +20,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Results of merges that a task keeps; the memory is emptied when it is full.
-REMEMBERED = 1_000_000
+from adloom.llm.common import Memory
+
+#: Results of merges that a task keeps, in each of two generations.
+REMEMBERED = 250_000
 #: Longer pre-tokens are merged again each time.
 LONGEST_KEPT = 64
 LIMIT = 4096
@@ -48,9 +50,7 @@ class PieceCounter:
                 raise ValueError(f"piece {p!r} crosses a pre-token boundary")
         self.newline = self.merge("\n")
         self.whole = {p for p in self.rank if self.merge(p) == 1}
-        # Words as str.split leaves them; one that starts a line keeps the line end in front.
-        self.known = {p[1:]: 1 for p in self.whole if p[0] == _SPACE and not p.startswith(_SPACE * 2) and p != _SPACE}
-        self.fresh = 0
+        self.known = Memory(self.word, REMEMBERED, LONGEST_KEPT)
 
     def merge(self, text: str) -> int:
         """Number of tokens after all merges: best piece first, leftmost among equals."""
@@ -97,16 +97,10 @@ class PieceCounter:
         return 1 if pre_token in self.whole else self.merge(pre_token)
 
     def word(self, word: str) -> int:
-        """Tokens of a word between single spaces, or after a line end."""
-        if (n := self.known.get(word)) is None:
-            n = self.newline + (self.piece(word[1:]) if len(word) > 1 else 0) if word[0] == "\n" else self.piece(_SPACE + word)
-            if len(word) <= LONGEST_KEPT:
-                if self.fresh >= REMEMBERED:
-                    self.known = {w: 1 for w in self.known if _SPACE + w in self.whole}
-                    self.fresh = 0
-                self.known[word] = n
-                self.fresh += 1
-        return n
+        """Tokens of a word as str.split leaves it; one that starts a line has the line end in front."""
+        if word[0] == "\n":
+            return self.newline + (self.piece(word[1:]) if len(word) > 1 else 0)
+        return self.piece(_SPACE + word)
 
     def count(self, text: str) -> int:
         if not text:
@@ -115,10 +109,7 @@ class PieceCounter:
         words = text.replace("\n", " \n").split(" ")
         if "" in words:  # runs of spaces, or spaces at an end or before a line end
             return sum(map(self.piece, _PIECES.findall(_SPACE + text.replace(" ", _SPACE))))
-        known = list(map(self.known.get, words))
-        if None in known:
-            known = map(self.word, words)
-        return sum(known)
+        return sum(self.known.all(words))
 
 
 @lru_cache(1)

@@ -16,12 +16,12 @@ at most about ``SAMPLE`` labelled rows; all counts of votes cover every document
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
@@ -59,12 +59,12 @@ LEXICONS = (
 )
 # The patterns.
 PATTERNS = (
-    r"\b(?:you(?:'re| are)?|du bist|tu es|vous êtes|eres)\s+(?:all\s+)?(?:a|an|such|so|just|nothing|ein|eine|un|une|nada)\b",
-    r"!{3,}|\b(?:[A-ZÄÖÜÉÈÇÑ]{3,}\W+){4}",
+    r"(?:[Yy]ou(?:'re| are)?|[Dd]u bist|[Tt]u es|[Vv]ous êtes|[Ee]res)\s+(?:all\s+)?(?:a|an|such|so|just|nothing|ein|eine|un|une|nada)\b",
+    r"!!!|[A-ZÄÖÜÉÈÇÑ]{3,}\W+(?:[A-ZÄÖÜÉÈÇÑ]{3,}\W+){3}",
 )
 VOTERS = len(LEXICONS) + LEARNED + len(PATTERNS)
 
-_WORD = regex.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms(text: str) -> set[str]:
@@ -84,17 +84,20 @@ class Model:
 
     def __post_init__(self):
         self.lexicon = {w: i for i, words in enumerate(LEXICONS) for w in words.split()}
-        self.patterns = [regex.compile(p) for p in PATTERNS]
-        self.lengths = sorted({len(t) - 1 for t in self.learned if t.endswith("-")})
+        self.patterns = [re.compile(p) for p in PATTERNS]
+        begins = [t[:-1] for t in self.learned if t.endswith("-")]
+        self.begins = [(n, frozenset(b for b in begins if len(b) == n)) for n in sorted({*map(len, begins)})]
+        self.words = frozenset(t for t in self.learned if not t.endswith("-"))
 
     def look(self, text: str) -> tuple[list[str], int]:
         """The learned terms in a text and the votes on it, one bit each."""
-        words, learned, lexicon = set(_WORD.findall(text.lower())), self.learned, self.lexicon
-        hits = {w for w in words if w in learned}
-        for n in self.lengths:
-            hits.update(p for w in words if len(w) > n and (p := f"{w[:n]}-") in learned)
-        fired = {lexicon[w] for w in words if w in lexicon}
-        fired |= {len(LEXICONS) + learned[t] for t in hits}
+        words = set(_WORD.findall(text.lower()))
+        hits = words & self.words
+        for n, begins in self.begins:
+            found = {w[:n] for w in words if len(w) > n} & begins
+            hits.update(f"{b}-" for b in found)
+        fired = {self.lexicon[w] for w in words & self.lexicon.keys()}
+        fired |= {len(LEXICONS) + self.learned[t] for t in hits}
         fired |= {len(LEXICONS) + LEARNED + i for i, p in enumerate(self.patterns) if p.search(text)}
         return list(hits), sum(1 << i for i in fired)
 
