@@ -21,6 +21,7 @@ Decoding joins the labels of the arcs.
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from adloom.llm.common import Memory
 
 #: Encoded words (in each of two generations) and arcs that a task remembers.
-REMEMBERED_WORDS = 150_000
+REMEMBERED_WORDS = 250_000
 REMEMBERED_ARCS = 250_000
 LONGEST_KEPT = 64
 _SLICE = 128  # rows that are encoded before they are passed on
@@ -43,6 +44,9 @@ _SLICE = 128  # rows that are encoded before they are passed on
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in the vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -89,7 +93,7 @@ class Automaton:
             self.ends[node], self.shorter[i] = i, begins
         self.split = regex.compile(PATTERN)
         self.mark = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known = Memory(self.word, REMEMBERED_WORDS, LONGEST_KEPT)
+        self.known = Memory(self.piece, REMEMBERED_WORDS, LONGEST_KEPT)
 
     def _arc(self, u: int, v: int) -> bool:
         """Whether the state that u leads to has an arc v."""
@@ -153,8 +157,25 @@ class Automaton:
         ids = self.path(word.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def run(self, text: str) -> bytes:
+        return b"".join(map(self.word, self.split.findall(text)))
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece as ``plain`` cuts them: a line start, or a word after a space."""
+        return self.word("\n") + self.run(piece[1:]) if piece[0] == "\n" else self.run(" " + piece)
+
     def plain(self, text: str) -> bytes:
-        return b"".join(self.known.all(self.split.findall(text)))
+        """Ids of a text without special tokens.
+
+        Where all white space is single spaces and line ends, pre-tokens end at each of them
+        and pieces between them are looked up whole; other texts are split by the pattern.
+        """
+        pieces = text.replace("\n", " \n").split(" ")
+        if "" in pieces or "\n\n" in text or _OTHER_SPACE.search(text):
+            return self.run(text)
+        if pieces[0][0] == "\n":
+            return b"".join(self.known.all(pieces))
+        return b"".join([self.run(pieces[0]), *self.known.all(pieces[1:])])
 
     def encode(self, text: str) -> bytes:
         """All ids; strings of special tokens inside a text become those tokens."""
