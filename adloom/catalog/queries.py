@@ -516,7 +516,7 @@ def train_lr_gd(spark, d):
 def train_history(spark, d):
     """The log of a run whose callback saves the weights after every iteration."""
     path = fresh_path(spark, "run")
-    fit = _gd_fit(spark, d, on_iteration=lambda i, w: sinks.write_weights(w, path, i))
+    fit = _gd_fit(spark, d, resolution=6, on_iteration=lambda i, w: sinks.write_weights(w, path, i))
     saved = spark.read.text(path).groupBy(F.col("iter").cast("int").alias("iter")).agg(
         F.count(F.lit(1)).alias("n_saved")
     )

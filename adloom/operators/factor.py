@@ -12,18 +12,25 @@ from pyspark.sql import functions as F
 
 from adloom.functions.columns import FM_BOUND, factor, log_loss_term, sigmoid_clamped
 from adloom.operators.lookup import HotKeys, lookup_join
-from adloom.workspace import materialize
+from adloom.workspace import materialize, release
 
 MAX_MULTIPLIER = 99  # fixed value: the search tries multipliers 1 to 99
 _FIRST_CHUNK = 8
 
 
+def whole_vectors(df: DataFrame, v: str, k: int) -> DataFrame:
+    """``df``, failing on a vector that is neither empty nor of length k."""
+    wrong = F.raise_error(F.format_string(f"a vector of {k} components has %d", F.size(v)))
+    checked = F.when(F.coalesce(F.size(v), F.lit(0)).isin(-1, 0, k), F.col(v)).otherwise(wrong.cast(df.schema[v].dataType))
+    return df.withColumn(v, checked)
+
+
 def sum_vectors(df: DataFrame, key: str, v: str, k: int) -> DataFrame:
     """Element-wise sum of K-vectors per key; empty vectors add nothing.
 
-    The result is empty where every vector of the key is.
+    The result is empty where every vector of the key is. Any other length is an error.
     """
-    sums = df.groupBy(key).agg(
+    sums = whole_vectors(df, v, k).groupBy(key).agg(
         F.max(F.size(v)).alias("_n"), *[F.sum(factor(F.col(v), i)).alias(f"_{i}") for i in range(k)]
     )
     filled = F.array(*[F.col(f"_{i}") for i in range(k)])
@@ -202,15 +209,15 @@ def margin_curve(
 
 def step_losses(curve: DataFrame, first: int, last: int) -> DataFrame:
     """``(multiplier, train_loss)`` for multipliers first..last in one job."""
-    m = F.col("multiplier")
-    z = F.col("a") + m * F.col("b") + m * m * F.col("c")
-    return (
-        curve.withColumn("multiplier", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        .groupBy("multiplier")
-        .agg(
-            F.sum(log_loss_term(F.col("label"), sigmoid_clamped(z, FM_BOUND))).alias("train_loss")
-        )
-    )
+    tried = range(first, last + 1)
+
+    def loss(m: int) -> Column:
+        z = F.col("a") + m * F.col("b") + m * m * F.col("c")
+        return F.sum(log_loss_term(F.col("label"), sigmoid_clamped(z, FM_BOUND)))
+
+    sums = curve.agg(*[loss(m).alias(f"m{m}") for m in tried])
+    rows = F.array(*[F.struct(F.lit(m).alias("multiplier"), F.col(f"m{m}").alias("train_loss")) for m in tried])
+    return sums.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def search_step(
@@ -222,6 +229,13 @@ def search_step(
     Multipliers are tried in growing chunks; only one number per multiplier is fetched.
     """
     curve = materialize(margin_curve(tokens, direction, k, hot).drop("instance_id"), "curve")
+    try:
+        return _search(curve)
+    finally:
+        release(curve)  # a row per instance; nothing reads it again
+
+
+def _search(curve: DataFrame) -> tuple[int, list[tuple[int, float]]]:
     trace: list[tuple[int, float]] = []
     first, size = 1, _FIRST_CHUNK
     while first <= MAX_MULTIPLIER:

@@ -53,7 +53,7 @@ def token_gradient(
     residuals = preds.select("instance_id", (F.col("p") - F.col("label")).alias("r"))
     return (
         lookup_join(
-            tokens.select("instance_id", "sign"),
+            tokens.where(F.col("sign").isNotNull()).select("instance_id", "sign"),
             residuals,
             "instance_id",
             "inner",
@@ -69,7 +69,7 @@ def gradient_linear(
     tokens: DataFrame, weights: DataFrame, n_instances: int | None = None
 ) -> DataFrame:
     """``(sign, g)`` of the summed log loss; a repeated token counts again."""
-    preds = score_linear(tokens, weights)
+    preds = materialize(score_linear(tokens, weights), "preds")
     return token_gradient(tokens, preds, n_instances).select("sign", "g")
 
 

@@ -85,7 +85,11 @@ def lookup_join(
         return left.join(F.broadcast(right), key, how)
     found = hot(key) if hot else hot_keys(left, key)
     if found.isEmpty():
-        return left.join(right, key, how)
+        keyed = left.where(F.col(key).isNotNull()).join(right, key, how)
+        if how != "left":
+            return keyed
+        empty = F.broadcast(right.limit(0))  # rows without a key stay where they are
+        return keyed.unionByName(left.where(F.col(key).isNull()).join(empty, key, how))
     return _split_join(left, materialize(right, "lookup"), key, how, found)
 
 

@@ -41,11 +41,12 @@ def _in_parts(scores: DataFrame, resolution: int | None) -> DataFrame:
     """Give every score row a part number that ascends with the score.
 
     Rounded probabilities have few distinct values, so a fixed grid is even enough;
-    exact scores are range-partitioned because click-through rates cluster.
+    exact scores, and scores that are no probabilities, are range-partitioned because click-through rates cluster.
     """
     if resolution is not None and resolution <= 6:
-        inside = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
-        return scores.withColumn("part", F.floor(inside * _GRID).cast("int"))
+        ends = scores.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
+        if ends["low"] is None or 0 <= ends["low"] and ends["high"] <= 1:
+            return scores.withColumn("part", F.floor(F.col("score") * _GRID).cast("int"))
     return range_ordered(scores, "score", "scores").drop("row")
 
 

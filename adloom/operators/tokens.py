@@ -41,12 +41,18 @@ def filter_instances(instances: DataFrame, keep: DataFrame) -> DataFrame:
 
     Regrouping gathers no more than one input row held.
     """
-    kept = lookup_join(explode_tokens(instances), keep, "sign", "left_semi")
+    # Rows are told apart by their place in the input: ids of log lines may repeat.
+    placed = instances.withColumn("_row", F.monotonically_increasing_id()).select(
+        "_row", "instance_id", "shows", "clicks", "label", F.posexplode("feats").alias("pos", "f")
+    )
+    tokens = placed.select("_row", "instance_id", "shows", "clicks", "label", "pos", "f.sign", "f.slot")
+    kept = lookup_join(tokens, keep, "sign", "left_semi")
     # Array sort is by pos first, which restores the order of the line.
     feats = F.array_sort(F.collect_list(F.struct("pos", "sign", "slot")))
     return (
-        kept.groupBy("instance_id", "shows", "clicks", "label")
+        kept.groupBy("_row", "instance_id", "shows", "clicks", "label")
         .agg(feats.alias("feats"))
+        .drop("_row")
         .withColumn(
             "feats",
             F.transform(
@@ -60,6 +66,14 @@ def count_instances(instances: DataFrame) -> DataFrame:
     return instances.agg(F.count(F.lit(1)).alias("n"))
 
 
+def whole_parts(rate: float) -> int:
+    """The number of parts of which one makes up ``rate``."""
+    parts = round(1 / rate)
+    if abs(parts * rate - 1) > 1e-9:
+        raise ValueError(f"rotating parts need a rate of 1/n, not {rate}; draw with mode='bernoulli'")
+    return parts
+
+
 def sample_instances(
     instances: DataFrame, rate: float, seed: int = 0, mode: str = "rotate"
 ) -> DataFrame:
@@ -71,7 +85,7 @@ def sample_instances(
     """
     if mode == "bernoulli":
         return instances.sample(rate, seed=seed)
-    buckets = round(1 / rate)
+    buckets = whole_parts(rate)
     return instances.where(
         sample_bucket(F.col("instance_id"), buckets) == seed % buckets
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adloom.functions.columns import factor
+from adloom.operators.factor import whole_vectors
 from adloom.operators.lookup import HotKeys, lookup_join
 from adloom.workspace import materialize
 
@@ -140,7 +141,7 @@ def pool_embeddings(
     found = lookup_join(tokens, table, "cell", "inner").select("instance_id", "slot_idx", *columns)
     zeros = instances.select(
         "instance_id",
-        F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot_idx"),
+        F.explode(F.array(*[F.lit(i) for i in range(n_slots)]).cast("array<int>")).alias("slot_idx"),
         *[F.lit(0.0).alias(c) for c in columns],
     )
     summed = (
@@ -153,7 +154,7 @@ def pool_embeddings(
 
 def embedding_moments(pooled: DataFrame, size: int) -> DataFrame:
     """``(slot_idx, dim, mean, variance)`` of the pooled vectors, population variance."""
-    stats = pooled.groupBy("slot_idx").agg(
+    stats = whole_vectors(pooled, "v", size).groupBy("slot_idx").agg(
         *[F.avg(factor(F.col("v"), i)).alias(f"m{i}") for i in range(size)],
         *[F.var_pop(factor(F.col("v"), i)).alias(f"s{i}") for i in range(size)],
     )

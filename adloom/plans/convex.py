@@ -1,7 +1,7 @@
-"""Logistic regression to convergence through MLlib's L-BFGS and OWL-QN.
+"""Logistic regression to convergence through the L-BFGS and OWL-QN of pyspark.ml.
 
 The fitted objective is the sum of log losses + l2/2 * |w|^2 + l1 * |w|_1, without an
-intercept. Like MLlib itself, both functions hold one number per feature on the driver.
+intercept. Like the solvers, both functions hold one number per feature on the driver.
 """
 
 from __future__ import annotations
@@ -56,12 +56,14 @@ def _fit(
         .toLocalIterator()
     ]
     names = F.transform("feats", lambda f: f["sign"].cast("string"))
-    rows = _vectorizer(signs).transform(train.select("label", names.alias("names")))
+    binary = F.when(F.col("label") > 0, 1).otherwise(0).alias("label")  # counts above one are clicks too
+    rows = _vectorizer(signs).transform(train.select(binary, names.alias("names")))
     n = train.count()
     total = l1 + l2
     solver = LogisticRegression(
         featuresCol="features",
         labelCol="label",
+        family="binomial",
         fitIntercept=False,
         standardization=False,
         regParam=total / n,
@@ -93,9 +95,12 @@ def train_lr_l2(
     theta: float = THETA,
     max_iter: int = 200,
     tol: float = TOL_L2,
-    resolution: int | None = 6,
+    resolution: int | None = None,
 ) -> ConvexFit:
-    """``train`` and ``evaluation`` are instance frames; ``features`` holds the signs."""
+    """``train`` and ``evaluation`` are instance frames; ``features`` holds the signs.
+
+    A label above 1, as ``label_mode="raw"`` gives, counts as one click in the fit.
+    """
     return _fit(train, evaluation, features, 0.0, theta, max_iter, tol, resolution)
 
 
@@ -107,7 +112,7 @@ def train_lr_elastic(
     l2: float = THETA,
     max_iter: int = 200,
     tol: float = TOL_ELASTIC,
-    resolution: int | None = 6,
+    resolution: int | None = None,
 ) -> ConvexFit:
     """As ``train_lr_l2`` with an l1 term; weights that end at 0 are left out."""
     return _fit(train, evaluation, features, l1, l2, max_iter, tol, resolution)

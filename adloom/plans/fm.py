@@ -56,7 +56,7 @@ def train_fm(
     seed: int | None = None,
     compat: bool = False,
     tol: float | None = None,
-    resolution: int | None = 6,
+    resolution: int | None = None,
     on_iteration: OnIteration | None = None,
 ) -> Fit:
     """Sampled gradient, step search over the whole train set, evaluation; repeated.

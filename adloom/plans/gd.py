@@ -84,7 +84,7 @@ def train_lr_gd(
     mode: str = "aggregated",
     compat: bool = False,
     tol: float | None = None,
-    resolution: int | None = 6,
+    resolution: int | None = None,
     on_iteration: OnIteration | None = None,
 ) -> Fit:
     """Iterate ``gd_step`` over rotating samples, evaluating after each step.

@@ -127,7 +127,9 @@ def train_epoch(
         .select("layer", "row", vector_to_array("mean").alias("mean"), "weight")
         .collect()
     )
-    (loss,) = (r for r in averaged if r["layer"] == "loss")
+    loss = next((r for r in averaged if r["layer"] == "loss"), None)
+    if loss is None:
+        raise ValueError("a net cannot be trained without rows")
     params = {name: value.copy() for name, value in net.params.items()}
     for r in averaged:
         if r["layer"] != "loss":
@@ -165,7 +167,7 @@ def score_dnn(rows: DataFrame, net: Net) -> DataFrame:
 def net_frame(spark: SparkSession, net: Net) -> DataFrame:
     """``(layer, row, v)`` with one row per parameter row."""
     parts = [
-        pd.DataFrame({"layer": name, "row": np.arange(len(v), dtype=np.int32), "v": list(v.astype(float))})
+        pd.DataFrame({"layer": name, "row": np.arange(len(v), dtype=np.int32), "v": v.astype(float).tolist()})
         for name, v in net.params.items()
     ]
     return spark.createDataFrame(pd.concat(parts), "layer string, row int, v array<double>")
@@ -188,7 +190,7 @@ def train_dnn(
     batch: int = BATCH,
     partitions: int | None = None,
     seed: int = 0,
-    resolution: int | None = 6,
+    resolution: int | None = None,
     on_iteration: OnIteration | None = None,
 ) -> NetFit:
     """``mode`` is ``embedding`` (summed embedding rows per slot) or ``discrete`` (raw
@@ -202,7 +204,8 @@ def train_dnn(
     for epoch in range(epochs):
         shuffled = shuffle_instances(rows, seed + epoch, partitions)
         net, loss = train_epoch(shuffled, net, learning_rate, batch)
-        result = evaluate(score_dnn(held_out, net), resolution).first()
+        scores = score_dnn(held_out, net)
+        result = evaluate(scores, resolution).first()
         history.append((epoch, n, result["auc"], result["mae"], float(loss)))
         if on_iteration:
             on_iteration(epoch, net_frame(spark, net))

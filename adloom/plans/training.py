@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from adloom.functions.columns import sample_bucket
 from adloom.operators.lookup import HotKeys, hot_share
+from adloom.operators.tokens import whole_parts
 from adloom.schema import HISTORY
 from adloom.workspace import materialize
 
@@ -63,7 +64,7 @@ def lay_out(tokens: DataFrame, rate: float = 1.0) -> TrainingTokens:
     The rebalance hint gathers what belongs together, so that scores combine before
     their shuffle in every iteration, and splits whatever outgrows a task.
     """
-    buckets = round(1 / rate)
+    buckets = whole_parts(rate)
     bucketed = tokens.select("instance_id", "label", "sign").withColumn(
         "bucket", sample_bucket(F.col("instance_id"), buckets)
     )

@@ -23,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_roots.setdefault(
-        context.applicationId, tempfile.mkdtemp(prefix="adloom-")
-    )
+    if context.applicationId not in _local_roots:
+        _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="adloom-")
+    return _local_roots[context.applicationId]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -43,3 +43,14 @@ def materialize(
     path = fresh_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and nothing will read again."""
+    context = table.sparkSession.sparkContext
+    root = shared_dir(table.sparkSession).rstrip("/") + "/adloom/"
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if root.split(":", 1)[-1].lstrip("/") not in folder:
+            raise ValueError(f"{folder} is no written table of this engine")
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -8,8 +8,6 @@ ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tools"))
 
-from adloom.session import tune  # noqa: E402
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -19,7 +17,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
-    session = tune(builder).getOrCreate()
+    session = builder.getOrCreate()  # plain: nothing may depend on tuned settings
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -40,7 +40,7 @@ def skewed_rows():
     return list(zip((rng.random(20000) < p * 4).astype(int).tolist(), p.tolist()))
 
 
-def test_auc_equals_mllib_and_is_monotone_invariant(spark):
+def test_auc_equals_ml_evaluator_and_is_monotone_invariant(spark):
     df = preds(spark, skewed_rows())
     library = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label", numBins=0)
     got = metrics.auc(df).first().auc
