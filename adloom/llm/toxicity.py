@@ -205,7 +205,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     table = F.broadcast(spark.createDataFrame(table, "votes int, toxic int, p double"))
     seen = sample.select("toxic", look("text").alias("l")).select("toxic", "l.hits", "l.votes").join(table, ["votes", "toxic"])
     bits = F.array(*[F.when(F.col("votes").bitwiseAND(F.lit(1 << i)) != 0, F.lit(f"#{i}")) for i in range(VOTERS)])
-    seen = seen.select("p", F.concat("hits", F.array_compact(bits)).alias("names"))
+    seen = materialize(seen.select("p", F.concat("hits", F.array_compact(bits)).alias("names")), "posteriors")
     names = [*model.learned, *[f"#{i}" for i in range(VOTERS)]]
     vectors = CountVectorizerModel.from_vocabulary(names, inputCol="names", outputCol="features", binary=True).transform(seen)
     each = vectors.select("features", F.explode(F.array(
