@@ -45,6 +45,8 @@ stat AS MATERIALIZED (
 
 KEEP = "keep AS MATERIALIZED (SELECT sign FROM stat WHERE show_sum >= 50)"
 
+TIGHT = "keep AS MATERIALIZED (SELECT sign FROM stat WHERE show_sum >= 420)"
+
 KEPT = "kept AS MATERIALIZED (SELECT * FROM tok WHERE sign IN (SELECT sign FROM keep))"
 
 WEIGHTS = """
@@ -73,13 +75,13 @@ LOSS_TERM = """CASE WHEN label = 1 THEN -ln(greatest(p, 1e-10))
   WHEN label = 0 THEN -ln(greatest(1 - p, 1e-10)) ELSE 0 END"""
 
 
-def area(predictions: str = "pr") -> str:
+def area(predictions: str = "pr", score: str = "round(p, 6)") -> str:
     return f"""
     SELECT sum(pos * (below + 0.5 * neg)) / nullif(sum(pos) * CAST(sum(neg) AS DOUBLE), 0) AS auc,
       CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg
     FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY s
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
-          FROM (SELECT round(p, 6) AS s, count(*) FILTER (label = 1) AS pos,
+          FROM (SELECT {score} AS s, count(*) FILTER (label = 1) AS pos,
                   count(*) FILTER (label = 0) AS neg FROM {predictions} GROUP BY 1))"""
 
 
@@ -288,7 +290,7 @@ INSTANCE_LINE = """
 SELECT concat_ws(' ', instance_id, shows, clicks,
   string_agg(sign || ':' || slot, ' ' ORDER BY pos)) AS value
 FROM {tokens} GROUP BY instance_id, shows, clicks"""
-EMBED = """SELECT label, unnest(embedding) AS x, unnest(range(64)) AS k FROM embeddings"""
+EMBED = """SELECT vec_id, label, unnest(embedding) AS x, unnest(range(64)) AS k FROM embeddings"""
 PENALTY = "SELECT sum(w * w) AS l2_sq, sum(abs(w)) AS l1 FROM wt"
 
 ORACLES = {
@@ -296,17 +298,31 @@ ORACLES = {
     "read_instances_slot": EV + """
 SELECT instance_id, max(label) AS label, CAST(count(*) AS INTEGER) AS n_feats,
   string_agg(CAST(slot AS VARCHAR), ',' ORDER BY pos) AS slots FROM tok GROUP BY instance_id""",
+    "read_instances_strict": EV + """
+SELECT CASE WHEN instance_id % 7 = 0 THEN instance_id || ':9' ELSE CAST(instance_id AS VARCHAR) END AS line_id,
+  shows, clicks, label, CAST(count(*) + (CASE WHEN instance_id % 13 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS n_feats,
+  string_agg(CAST(sign AS VARCHAR), ',' ORDER BY pos)
+    || CASE WHEN instance_id % 13 = 0 THEN ',18446744073709551615' ELSE '' END AS signs
+FROM tok WHERE instance_id % 11 <> 0 AND instance_id % 17 <> 0 GROUP BY instance_id, shows, clicks, label""",
+    "read_rejects": EV + """
+SELECT instance_id || CASE WHEN instance_id % 7 = 0 THEN ':9' ELSE '' END || ' ' || shows || ' '
+  || CASE WHEN instance_id % 11 = 0 THEN 'x' ELSE CAST(clicks AS VARCHAR) END || ' '
+  || string_agg(sign || ':' || slot, ' ' ORDER BY pos)
+  || CASE WHEN instance_id % 13 = 0 THEN ' 18446744073709551615:4' ELSE '' END
+  || CASE WHEN instance_id % 17 = 0 THEN ' a:b' ELSE '' END
+  || CASE WHEN instance_id % 5 = 0 THEN ' plain 1:2:3' ELSE '' END AS line
+FROM tok WHERE instance_id % 11 = 0 OR instance_id % 17 = 0 GROUP BY instance_id, shows, clicks""",
     "read_feature_list": with_(*EV_STAT, KEEP)
     + "SELECT sign, row_number() OVER (ORDER BY sign) - 1 AS idx FROM keep",
     "read_feature_freq": with_(ORDERS_BINARY, FREQ)
-    + "SELECT sign, freq, row_number() OVER (ORDER BY sign) - 1 AS idx FROM fq WHERE freq >= 500",
+    + "SELECT sign, freq, row_number() OVER (ORDER BY sign) - 1 AS idx FROM fq WHERE freq >= 700",
     "read_feat_stat_text": with_(*EV_STAT) + "SELECT * FROM stat",
     "read_slot_stat": with_(ORDERS_BINARY)
-    + "SELECT count(*) AS freq, sign, slot FROM tok GROUP BY sign, slot HAVING count(*) >= 500",
+    + "SELECT count(*) AS freq, sign, slot FROM tok GROUP BY sign, slot HAVING count(*) >= 700",
     "read_predictions": EV_PRED + "SELECT label, round(p, 6) + 0.0 AS p FROM pr",
     "feat_stat_roundtrip": with_(*EV_STAT) + "SELECT * FROM stat",
     "feature_list_roundtrip": with_(*EV_STAT, KEEP) + "SELECT CAST(sign AS VARCHAR) AS value FROM keep",
-    "instances_text": with_(*EV_STAT, KEEP, KEPT) + INSTANCE_LINE.format(tokens="kept"),
+    "instances_text": with_(*EV_STAT, TIGHT, KEPT) + INSTANCE_LINE.format(tokens="kept"),
     "feat_freq_roundtrip": with_(ORDERS_BINARY, FREQ)
     + f"SELECT sign || {TAB} || freq AS value FROM fq",
     "weights_text": with_(*EV_STAT, WEIGHTS)
@@ -321,9 +337,12 @@ SELECT sign || {TAB} || {six('max(w)')} || {TAB}
     "token_validity": """
 SELECT doc_id, CAST(count(*) AS INTEGER) AS n_tokens,
   CAST(count(*) FILTER (len(string_split(t, ':')) = 2) AS INTEGER) AS n_valid
-FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS t FROM documents) GROUP BY doc_id""",
+FROM (SELECT doc_id, CASE i % 3 WHEN 0 THEN t || ':' || i WHEN 1 THEN t || ':1:' || i ELSE t END AS t
+      FROM (SELECT doc_id, unnest(words) AS t, unnest(range(len(words))) AS i
+            FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents)))
+GROUP BY doc_id""",
     "frequent_features": with_(*EV_STAT, KEEP) + "SELECT sign FROM keep",
-    "filter_instances": with_(*EV_STAT, KEEP, KEPT) + """
+    "filter_instances": with_(*EV_STAT, TIGHT, KEPT) + """
 SELECT instance_id, shows, clicks, label, string_agg(CAST(sign AS VARCHAR), ' ' ORDER BY pos) AS signs
 FROM kept GROUP BY instance_id, shows, clicks, label""",
     "binarize_label": with_(ORDERS_RAW)
@@ -372,15 +391,18 @@ FROM ({EMBED}) GROUP BY label, k""",
     "log_loss": EV_PRED + f"SELECT round(sum({LOSS_TERM}), 6) + 0.0 AS loss FROM pr",
     "mae": with_(ORDERS_RAW, STAT, WEIGHTS, preds())
     + "SELECT round(avg(abs(label - p)), 6) + 0.0 AS mae FROM pr",
-    "train_dictionary": with_(EVENTS, DICTIONARY.format(tokens="tok")) + "SELECT sign, slot, pv FROM dict",
-    "pool_embeddings": with_(*ENCODED) + """
+    "train_dictionary": with_(EVENTS, """
+dtok AS (SELECT instance_id, pos, sign, CASE WHEN instance_id % 3 = 0 THEN slot + 10 ELSE slot END AS slot FROM tok)""",
+        DICTIONARY.format(tokens="dtok")) + "SELECT sign, slot, pv FROM dict",
+    "pool_embeddings": with_(*ENCODED, """
+enc2 AS (SELECT * FROM enc UNION ALL SELECT * FROM enc WHERE instance_id % 2 = 0)""") + """
 SELECT instance_id, slot_idx, k, round(coalesce(sum(x), 0), 6) + 0.0 AS value
 FROM (SELECT instance_id, slot_idx, k FROM (SELECT instance_id FROM ev),
     (SELECT slot_idx FROM slots), (SELECT CAST(unnest([0, 1]) AS INTEGER) AS k))
 LEFT JOIN (
-  SELECT instance_id, slot_idx, 0 AS k, ((slot_idx * 31 + feat_idx * 17) % 23 - 11) / 10.0 AS x FROM enc
+  SELECT instance_id, slot_idx, 0 AS k, ((slot_idx * 31 + feat_idx * 17) % 23 - 11) / 10.0 AS x FROM enc2
   UNION ALL
-  SELECT instance_id, slot_idx, 1, ((slot_idx * 7 + feat_idx * 5) % 19 - 9) / 10.0 FROM enc)
+  SELECT instance_id, slot_idx, 1, ((slot_idx * 7 + feat_idx * 5) % 19 - 9) / 10.0 FROM enc2)
 USING (instance_id, slot_idx, k) GROUP BY instance_id, slot_idx, k""",
     "multi_hot": with_(*ENCODED) + """
 SELECT instance_id, slot_idx, string_agg(CAST(feat_idx AS VARCHAR), ',' ORDER BY feat_idx) AS active
@@ -404,16 +426,24 @@ SELECT sign, row_number() OVER (ORDER BY sign) - 1,
 FROM keep LEFT JOIN gr USING (sign) LEFT JOIN wt USING (sign)""",
     "embedding_moments": f"""
 SELECT slot_idx, dim, round(m, 6) + 0.0 AS mean, round(s, 6) + 0.0 AS variance,
-  round(m * (1 - 0.999), 6) + 0.0 AS moving_mean,
-  round(0.1 * 0.999 + s * (1 - 0.999), 6) + 0.0 AS moving_variance
-FROM (SELECT label AS slot_idx, CAST(k AS INTEGER) AS dim, avg(CAST(x AS DOUBLE)) AS m,
-        var_pop(CAST(x AS DOUBLE)) AS s FROM ({EMBED}) GROUP BY label, k)""",
+  round(m0 * (1 - 0.999) * 0.999 + m1 * (1 - 0.999), 6) + 0.0 AS moving_mean,
+  round((0.1 * 0.999 + s0 * (1 - 0.999)) * 0.999 + s1 * (1 - 0.999), 6) + 0.0 AS moving_variance
+FROM (SELECT label AS slot_idx, CAST(k AS INTEGER) AS dim, avg(x) AS m, var_pop(x) AS s,
+        avg(x) FILTER (vec_id % 2 = 0) AS m0, var_pop(x) FILTER (vec_id % 2 = 0) AS s0,
+        avg(x) FILTER (vec_id % 2 = 1) AS m1, var_pop(x) FILTER (vec_id % 2 = 1) AS s1
+      FROM (SELECT vec_id, label, CAST(x AS DOUBLE) AS x, k FROM ({EMBED})) GROUP BY label, k)""",
     "pseudo_gradient": with_(*EV_STAT, WEIGHTS,
         "mx AS MATERIALIZED (SELECT sign, CASE WHEN abs(w) < 0.35 THEN 0 ELSE w END AS w FROM wt)",
         preds(weights="mx"), gradient()) + """
 SELECT sign, round(CASE WHEN w > 0 THEN g + 4 WHEN w < 0 THEN g - 4 WHEN g < -4 THEN g + 4
   WHEN g > 4 THEN g - 4 ELSE 0 END, 6) + 0.0 AS pg FROM gr JOIN mx USING (sign)""",
     "auc": EV_PRED + f"SELECT round(auc, 6) + 0.0 AS auc, n_pos, n_neg FROM ({area()})",
+    "auc_exact": EV + f"""
+SELECT round(auc, 6) + 0.0 AS auc, n_pos, n_neg FROM ({area("vp", "p")})""".replace(
+        "FROM vp", "FROM (SELECT label, value / 500 AS p FROM ev JOIN events ON event_id = instance_id)"),
+    "auc_margins": EV + f"""
+SELECT round(auc, 6) + 0.0 AS auc, n_pos, n_neg FROM ({area("vp", "p")})""".replace(
+        "FROM vp", "FROM (SELECT label, floor(value) AS p FROM ev JOIN events ON event_id = instance_id)"),
     "dense_index": """
 SELECT word, row_number() OVER (ORDER BY word) - 1 AS idx
 FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)""",
@@ -444,7 +474,9 @@ SELECT {i} AS iter, (SELECT count(*) FROM p{i}) AS n_sampled,
     "fm_step_search": with_(*EV_FM, fm_preds("tok", "m0", "pr"), fm_grad("tok", "m0", "pr", "gr"),
         fm_search("tok", "m0", "gr", "(SELECT count(*) FROM pr)", "f")) + """
 SELECT CAST(m AS INTEGER) AS multiplier, round(loss, 4) + 0.0 AS loss,
-  CASE WHEN m = best THEN 1 ELSE 0 END AS accepted
+  CASE WHEN m = best THEN 1 ELSE 0 END AS accepted,
+  (SELECT round(sum(w - best * dw) FILTER (k = 0), 4) + 0.0 FROM f_d, f_best) AS w_sum,
+  (SELECT round(sum(v - best * dv), 4) + 0.0 FROM f_d, f_best) AS v_sum
 FROM f_l, f_best WHERE m <= least(best + 1, 99)""",
     "train_fm": with_(*EV_SPLIT, *fm_training(2, 2))
     + "SELECT sign, k, round(w, 5) + 0.0 AS w, round(v, 5) + 0.0 AS v FROM m2",

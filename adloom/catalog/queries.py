@@ -17,11 +17,13 @@ from adloom.sources.tables import document_words, event_instances, order_tokens,
 from adloom.workspace import fresh_path, materialize
 
 MIN_SHOWS = 50  # fixed value: the instance filter's threshold
-MIN_FREQ = 500  # fixed value: the slot statistics threshold
+MIN_FREQ = 700  # between the two slots of the orders, so that the threshold drops some
+TIGHT_SHOWS = 420  # empties some of the events' instances
 RATE = 0.5
 FM_K = 4
 FM_SCALE = 0.2
 VOCAB = 200
+BIG_SIGN = 2**64 - 1
 NET_SHAPE = (4, 3, 1)  # widths of the fixed net's layers
 
 
@@ -52,6 +54,13 @@ def kept_instances(spark: SparkSession, d: str) -> DataFrame:
     return tokens.filter_instances(event_instances(spark, d), kept_signs(spark, d))
 
 
+def tight_instances(spark: SparkSession, d: str) -> DataFrame:
+    """Instances of which some lose all of their features."""
+    stat = tokens.feature_stat(event_tokens(spark, d))
+    keep = materialize(tokens.frequent_features(stat, TIGHT_SHOWS), "keep")
+    return tokens.filter_instances(event_instances(spark, d), keep)
+
+
 def split_tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     train, held_out = tokens.split_train_eval(
         materialize(kept_instances(spark, d), "kept")
@@ -112,6 +121,37 @@ def read_instances_slot(spark, d):
     )
 
 
+def write_odd_lines(spark: SparkSession, d: str) -> str:
+    """Event lines with ids that look like features, signs beyond BIGINT, and malformed fields."""
+    def every(n: int, then: Column | str, other: Column | str = "") -> Column:
+        then, other = (c if isinstance(c, Column) else F.lit(c) for c in (then, other))
+        return F.when(F.col("instance_id") % n == 0, then).otherwise(other)
+
+    id_ = F.col("instance_id").cast("string")
+    tokens_ = F.transform("feats", lambda f: F.concat_ws(":", f["sign"], f["slot"]))
+    line = F.concat(
+        every(7, F.concat(id_, F.lit(":9")), id_), F.lit(" "), "shows", F.lit(" "),
+        every(11, "x", F.col("clicks").cast("string")), F.lit(" "), F.array_join(tokens_, " "),
+        every(13, f" {BIG_SIGN}:4"), every(17, " a:b"), every(5, " plain 1:2:3"),
+    )
+    path = fresh_path(spark, "lines")
+    event_instances(spark, d).select(line.alias("value")).write.text(path)
+    return path
+
+
+def read_instances_strict(spark, d):
+    """Ids that are no numbers and features from the fourth field on."""
+    read = sources.read_instances(spark, write_odd_lines(spark, d), ids="generated", strict=True)
+    return read.select(
+        "line_id", "shows", "clicks", "label", F.size("feats").alias("n_feats"),
+        F.array_join(F.transform("feats", lambda f: f["sign"].cast("string")), ",").alias("signs"),
+    )
+
+
+def read_rejects(spark, d):
+    return sources.read_rejects(spark, write_odd_lines(spark, d), ids="generated", strict=True)
+
+
 def read_feature_list(spark, d):
     path = fresh_path(spark, "features")
     sinks.write_feature_list(kept_signs(spark, d), path)
@@ -164,7 +204,7 @@ def feature_list_roundtrip(spark, d):
 
 def instances_text(spark, d):
     path = fresh_path(spark, "lines")
-    sinks.write_instances(kept_instances(spark, d), path)
+    sinks.write_instances(tight_instances(spark, d), path)
     return _lines(spark, path)
 
 
@@ -207,7 +247,13 @@ def explode_tokens(spark, d):
 
 
 def token_validity(spark, d):
-    fields = F.split("text", " ")
+    """Every third word becomes a feature, every third has a colon too many."""
+    fields = F.transform(
+        F.split("text", " "),
+        lambda word, i: F.when(i % 3 == 0, F.concat(word, F.lit(":"), i))
+        .when(i % 3 == 1, F.concat(word, F.lit(":1:"), i))
+        .otherwise(word),
+    )
     return read_table(spark, d, "documents").select(
         "doc_id",
         F.size(fields).alias("n_tokens"),
@@ -221,7 +267,7 @@ def frequent_features(spark, d):
 
 def filter_instances(spark, d):
     signs = F.transform("feats", lambda f: f["sign"].cast("string"))
-    return kept_instances(spark, d).select(
+    return tight_instances(spark, d).select(
         "instance_id", "shows", "clicks", "label", F.array_join(signs, " ").alias("signs")
     )
 
@@ -364,7 +410,14 @@ def mae(spark, d):
 
 
 def train_dictionary(spark, d):
-    return vocab.train_dictionary(event_tokens(spark, d))
+    """Every third instance has its features under other slots; the first slot of a sign wins."""
+    slot = F.when(F.col("instance_id") % 3 == 0, F.col("slot") + 10).otherwise(F.col("slot"))
+    return vocab.train_dictionary(event_tokens(spark, d).withColumn("slot", slot))
+
+
+def repeated(encoded: DataFrame) -> DataFrame:
+    """The tokens of every second instance occur twice."""
+    return encoded.unionByName(encoded.where(F.col("instance_id") % 2 == 0))
 
 
 def slot_embedding(slots: DataFrame) -> DataFrame:
@@ -383,7 +436,7 @@ def slot_embedding(slots: DataFrame) -> DataFrame:
 def pool_embeddings(spark, d):
     encoded, slots = encoded_events(spark, d)
     pooled = vocab.pool_embeddings(
-        encoded, slot_embedding(slots), event_instances(spark, d), slots.count(), 2
+        repeated(encoded), slot_embedding(slots), event_instances(spark, d), slots.count(), 2
     )
     return factor_rows(pooled, "v", "instance_id", "slot_idx").select(
         "instance_id", "slot_idx", "k", r("value").alias("value")
@@ -391,7 +444,7 @@ def pool_embeddings(spark, d):
 
 
 def multi_hot(spark, d):
-    return vocab.multi_hot(encoded_events(spark, d)[0]).select(
+    return vocab.multi_hot(repeated(encoded_events(spark, d)[0])).select(
         "instance_id", "slot_idx", F.array_join(F.col("active").cast("array<string>"), ",").alias("active")
     )
 
@@ -428,11 +481,15 @@ def loss_and_gradient(spark, d):
 
 
 def embedding_moments(spark, d):
+    """Moments of all vectors; moving ones over the even and then the odd rows."""
     pooled = read_table(spark, d, "embeddings").select(
-        F.col("label").alias("slot_idx"), F.col("embedding").alias("v")
+        "vec_id", F.col("label").alias("slot_idx"), F.col("embedding").alias("v")
     )
     moments = vocab.embedding_moments(pooled, 64)
-    moving = vocab.update_moments(None, moments)
+    moving = None
+    for half in (0, 1):
+        batch = pooled.where(F.col("vec_id") % 2 == half)
+        moving = materialize(vocab.update_moments(moving, vocab.embedding_moments(batch, 64)), "moving")
     return moments.join(
         moving.withColumnsRenamed({"mean": "moving_mean", "variance": "moving_variance"}),
         ["slot_idx", "dim"],
@@ -459,6 +516,24 @@ def auc(spark, d):
     return metrics.auc(event_preds(spark, d), resolution=6).select(r("auc").alias("auc"), "n_pos", "n_neg")
 
 
+def value_preds(spark, d, score: Column) -> DataFrame:
+    """Scores that both engines hold to the last bit."""
+    return event_instances(spark, d).select("instance_id", "label").join(
+        read_table(spark, d, "events").select(F.col("event_id").alias("instance_id"), score.alias("p")), "instance_id"
+    )
+
+
+def auc_exact(spark, d):
+    preds = value_preds(spark, d, F.col("value") / 500)
+    return metrics.auc(preds).select(r("auc").alias("auc"), "n_pos", "n_neg")
+
+
+def auc_margins(spark, d):
+    """Rounded scores outside [0, 1]."""
+    preds = value_preds(spark, d, F.floor("value").cast("double") - 150)
+    return metrics.auc(preds, resolution=6).select(r("auc").alias("auc"), "n_pos", "n_neg")
+
+
 def word_index(spark, d):
     return dense_index(document_words(spark, d), "word")
 
@@ -553,10 +628,13 @@ def fm_step_search(spark, d):
     t, model = event_tokens(spark, d), event_fm(spark, d)
     n = event_instances(spark, d).count()
     gradient = factor.fm_gradient(t, model, FM_K)
-    _, accepted, trace = factor.fm_step_search(t, model, gradient, FM_K, n)
+    stepped, accepted, trace = factor.fm_step_search(t, model, gradient, FM_K, n)
+    v_sum = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    sums = stepped.agg(r(F.sum("w"), 4).alias("w_sum"), r(F.sum(v_sum), 4).alias("v_sum")).first()
     rows = [(m, loss, int(m == accepted)) for m, loss in trace]
     return spark.createDataFrame(rows, "multiplier int, loss double, accepted int").select(
-        "multiplier", r("loss", 4).alias("loss"), "accepted"
+        "multiplier", r("loss", 4).alias("loss"), "accepted",
+        F.lit(sums["w_sum"]).alias("w_sum"), F.lit(sums["v_sum"]).alias("v_sum"),
     )
 
 
@@ -623,6 +701,8 @@ def evaluate(spark, d):
 QUERIES = {
     "read_instances": read_instances,
     "read_instances_slot": read_instances_slot,
+    "read_instances_strict": read_instances_strict,
+    "read_rejects": read_rejects,
     "read_feature_list": read_feature_list,
     "read_feature_freq": read_feature_freq,
     "read_feat_stat_text": read_feat_stat_text,
@@ -670,6 +750,8 @@ QUERIES = {
     "embedding_moments": embedding_moments,
     "pseudo_gradient": pseudo_gradient,
     "auc": auc,
+    "auc_exact": auc_exact,
+    "auc_margins": auc_margins,
     "dense_index": word_index,
     "top_features": top_features,
     "build_vocabulary": build_vocabulary,

@@ -39,18 +39,19 @@ def frequent_features(stat: DataFrame, minimum: int, column: str = "show_sum") -
 def filter_instances(instances: DataFrame, keep: DataFrame) -> DataFrame:
     """Drop features outside ``keep``, then instances left without any.
 
-    Regrouping gathers no more than one input row held.
+    Regrouping gathers no more than one input row held. A ``line_id`` is passed on.
     """
+    columns = ["instance_id", "shows", "clicks", "label", *[c for c in instances.columns if c == "line_id"]]
     # Rows are told apart by their place in the input: ids of log lines may repeat.
     placed = instances.withColumn("_row", F.monotonically_increasing_id()).select(
-        "_row", "instance_id", "shows", "clicks", "label", F.posexplode("feats").alias("pos", "f")
+        "_row", *columns, F.posexplode("feats").alias("pos", "f")
     )
-    tokens = placed.select("_row", "instance_id", "shows", "clicks", "label", "pos", "f.sign", "f.slot")
+    tokens = placed.select("_row", *columns, "pos", "f.sign", "f.slot")
     kept = lookup_join(tokens, keep, "sign", "left_semi")
     # Array sort is by pos first, which restores the order of the line.
     feats = F.array_sort(F.collect_list(F.struct("pos", "sign", "slot")))
     return (
-        kept.groupBy("_row", "instance_id", "shows", "clicks", "label")
+        kept.groupBy("_row", *columns)
         .agg(feats.alias("feats"))
         .drop("_row")
         .withColumn(

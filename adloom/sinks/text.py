@@ -22,13 +22,13 @@ def iteration_path(path: str, iteration: int) -> str:
     return f"{path.rstrip('/')}/iter={iteration}"
 
 
-def instance_line() -> Column:
+def instance_line(id_column: str = "instance_id") -> Column:
     tokens = F.transform(
         "feats", lambda f: F.concat_ws(":", f["sign"].cast("string"), f["slot"].cast("string"))
     )
     return F.concat_ws(
         " ",
-        F.col("instance_id").cast("string"),
+        F.col(id_column).cast("string"),
         F.col("shows").cast("string"),
         F.col("clicks").cast("string"),
         F.array_join(tokens, " "),
@@ -76,7 +76,8 @@ def write_feature_list(df: DataFrame, path: str) -> None:
 
 
 def write_instances(df: DataFrame, path: str) -> None:
-    _write(df, instance_line(), path)
+    """A ``line_id``, where there is one, stands first instead of the number."""
+    _write(df, instance_line("line_id" if "line_id" in df.columns else "instance_id"), path)
 
 
 def write_feat_freq(df: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@ import gzip
 
 import pytest
 
-from adloom.operators.tokens import explode_tokens
+from adloom.operators.tokens import explode_tokens, filter_instances
 from adloom.sinks import text as sinks
 from adloom.sources import text as sources
 
@@ -113,6 +113,29 @@ def test_slot_stat_in_any_order(spark, tmp_path):
     assert got == {(500, 3, 4), (900, 5, 6)}
 
 
+def test_ids_that_are_no_numbers_stay(spark, tmp_path):
+    path = write(tmp_path / "l", ["a7 1 0 10:1", "5:9 1 1 11:2 12:3"])
+    read = sources.read_instances(spark, path, ids="generated", strict=True)
+    assert {r.line_id: [int(f.sign) for f in r.feats] for r in read.collect()} == {"a7": [10], "5:9": [11, 12]}
+    loose = sources.read_instances(spark, path, ids="generated").where("line_id = '5:9'").first()
+    assert [int(f.sign) for f in loose.feats] == [5, 11, 12]
+    keep = spark.createDataFrame([(10,), (12,)], "sign long").selectExpr("cast(sign AS decimal(20,0)) AS sign")
+    sinks.write_instances(filter_instances(read, keep), str(tmp_path / "out"))
+    assert {r.value for r in spark.read.text(str(tmp_path / "out")).collect()} == {"a7 1 0 10:1", "5:9 1 1 12:3"}
+
+
+@pytest.mark.parametrize(("fmt", "good", "bad"), [
+    ("feat_stat", "(12, (3, 1))", "(12, 3, 1)"),
+    ("slot_stat", "900 5:6", "900 x:6"),
+    ("predictions", "0.25\t1", "high\t1"),
+])
+def test_malformed_lines_are_rejected(spark, tmp_path, fmt, good, bad):
+    path = write(tmp_path / "f", [good, bad, ""])
+    read = {"feat_stat": sources.read_feat_stat_text, "slot_stat": sources.read_slot_stat, "predictions": sources.read_predictions}
+    assert read[fmt](spark, path).count() == 1
+    assert {r.line for r in sources.read_format_rejects(spark, path, fmt).collect()} == {bad, ""}
+
+
 def test_prediction_orders(spark, tmp_path):
     a = write(tmp_path / "a", ["0.25\t1"])
     b = write(tmp_path / "b", ["1\t0.25"])
