@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adloom.workspace import materialize
@@ -22,6 +22,20 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def rows_of(documents: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that ``kept`` names, one of several equal ones.
+
+    ``kept`` has a struct ``row`` of ``doc_id`` and ``h``, the xxhash64 of the text.
+    """
+    key, nth, id_, least = (unused(documents, f"_{c}") for c in ("key", "nth", "id", "least"))
+    kept = kept.select(F.col("row.doc_id").alias(id_), F.col("row.h").alias(least))
+    keyed = documents.withColumn(key, F.xxhash64("text"))
+    found = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(least)))
+    twins = Window.partitionBy(id_, least).orderBy(F.lit(0))
+    single = found.withColumn(nth, F.row_number().over(twins)).where(F.col(nth) == 1)
+    return single.select(*[single[f"`{c}`"] for c in documents.columns])
+
+
 def same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Column:
     """Equality of key columns in which a null matches a null."""
     condition = F.lit(True)

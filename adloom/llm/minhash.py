@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import partitions
+from adloom.llm.common import partitions, rows_of
 from adloom.llm.components import components
 from adloom.workspace import materialize
 
@@ -26,6 +26,9 @@ PERMUTATIONS = 128
 #: Bands of four rows: two texts of likeness 0.8 miss all of them once in 10^7 times.
 BAND_ROWS = 4
 SIMILARITY = 0.8
+#: Texts, and their shingles, of one block that is compared pair by pair.
+BLOCK = 128
+BLOCK_RUNS = 1 << 18
 #: Word hashes that a task remembers; the memory is emptied when it is full.
 REMEMBERED = 300_000
 LONGEST_KEPT = 64
@@ -69,8 +72,10 @@ class MinHash:
 
     def signature(self, text: str) -> np.ndarray:
         """One 16-bit minimum per permutation; an empty text has all ones."""
+        return self.signed(self.shingles(text))
+
+    def signed(self, runs: np.ndarray) -> np.ndarray:
         least = np.full(len(self.a), np.iinfo(np.uint64).max, np.uint64)
-        runs = self.shingles(text)
         for at in range(0, len(runs), _BLOCK):
             block = runs[at : at + _BLOCK]
             table = np.multiply.outer(block, self.a)  # unsigned numbers wrap at 2^64
@@ -163,63 +168,172 @@ def edited_fingerprints(documents: DataFrame, shingle: int = SHINGLE, permutatio
 
 def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with the exact likeness of their shingle sets."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("x")), "a").join(
-        sets.select(F.col("id").alias("b"), F.col("runs").alias("y")), "b"
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b").join(
+        sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a"
     )
     common = F.size(F.array_intersect("x", "y")).cast("double")
     return both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("j"))
 
 
-def near_duplicates(
-    documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, permutations: int = PERMUTATIONS
-) -> DataFrame:
-    """``doc_id``, ``class_id``: the smallest doc_id reachable over links of at least ``similarity``.
+def _linked(nodes: list, roots: list, places: list, runs: list, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what is alike and not connected yet.
 
-    Equal texts form one class ahead of the search. Different texts that share a band of
-    their signatures are candidates, and links are decided on whole shingle sets. A band is
-    never spelled out in pairs: its members are compared with its smallest one; those that
-    link drop out, and the rest goes into the next round. Jaccard distance is a metric, so
-    a text that does link to a dropped one is within twice the distance of the smallest;
-    only such near misses are compared with the dropped ones. No link that would join two
-    classes is lost. Null and empty texts link to each other alone; rows without a doc_id
-    take no part; repeated rows and extra columns do no harm.
+    Texts of two places are compared across, texts of one place with each other. A link
+    joins its ends' components, so a block gives fewer links than it has texts.
+    """
+    _, ids = np.unique(np.concatenate(runs), return_inverse=True)
+    sizes = np.array([len(r) for r in runs])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    at, root = np.array(places), np.array(roots)
+    across, seen, out = at.min() != at.max(), np.zeros(ids.max() + 1, bool), []
+    for x in range(len(nodes) - 1):
+        rest = slice(x + 1, None)
+        like = np.minimum(sizes[rest], sizes[x]) >= similarity * np.maximum(sizes[rest], sizes[x])
+        like &= root[rest] != root[x]
+        if across:
+            like &= at[rest] != at[x]
+        if not like.any():
+            continue
+        own = ids[starts[x] : starts[x] + sizes[x]]
+        seen[own] = True
+        common = np.add.reduceat(seen[ids], starts, dtype=np.int64)[rest]
+        seen[own] = False
+        for y in np.flatnonzero(like & (common / (sizes[rest] + sizes[x] - common) >= similarity)) + x + 1:
+            if root[y] != root[x]:
+                out.append((nodes[x], nodes[y]))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def _across(judged: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among members of a band that its smallest member does not connect.
+
+    Jaccard distance is a metric: a text can only link to another component of the band if
+    their distances from the smallest member differ by no more than a link's distance. What
+    is left of a band is cut into blocks of bounded numbers of texts and shingles, and each
+    pair of blocks is one group of rows, compared where it lies.
+    """
+    far = judged.where("root <> home").groupBy("band").agg(F.max("j").alias("far"))
+    near = (F.col("root") != F.col("home")) | (F.col("j") <= F.col("far") + (1 - similarity) + 1e-9)
+    left = materialize(judged.join(far, "band").where(near).select("band", "node", "root", "size"), "open")
+    cuts = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_RUNS)).cast("int").alias("cuts")
+    open_ = left.groupBy("band").agg(cuts, F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2")
+    at = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))
+    placed = left.join(open_.select("band", "cuts"), "band").withColumn("at", at).withColumn("other", other)
+    placed = placed.select("band", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("k"), "at", "node", "root")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group = None, ([], [], [], [])
+        for batch in batches:
+            out = []
+            for band, i, k, *row in zip(*(batch[c] for c in ("band", "i", "k", "node", "root", "at", "runs"))):
+                if (band, i, k) != key:
+                    out += _linked(*group, similarity) if len(group[0]) > 1 else []
+                    key, group = (band, i, k), ([], [], [], [])
+                for column, value in zip(group, row):
+                    column.append(value)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if len(group[0]) > 1:
+            yield pd.DataFrame(_linked(*group, similarity), columns=["a", "b"], dtype="int64")
+
+    rows = placed.join(sets.select("node", "runs"), "node").repartition(partitions(judged.sparkSession), "band", "i", "k")
+    return rows.sortWithinPartitions("band", "i", "k").mapInPandas(compare, "a long, b long").distinct()
+
+
+def named(documents: DataFrame, *more: str) -> DataFrame:
+    """``id``, ``h``, ``text`` and ``more`` of every row; all texts without a word have one ``h``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    worded = F.when(text.rlike("[^\\x20\\x09-\\x0D]"), text).otherwise(F.lit(""))
+    h = F.unhex(F.substring(F.sha2(worded.cast("binary"), 256), 1, 32))
+    return documents.select(F.col("doc_id").cast("long").alias("id"), h.alias("h"), text.alias("text"), *more)
+
+
+def classes(
+    rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, permutations: int = PERMUTATIONS
+) -> DataFrame:
+    """``h``, ``class`` (a number) of every distinct ``h`` of ``rows``, which :func:`named` gives.
+
+    Classes are connected over links of at least ``similarity``. Texts that share a band of
+    their signatures are candidates, and links are decided on whole shingle sets. First all
+    members of a band are compared with its smallest one. Members that are in its component
+    are then done, but for those near enough to a member that is not; the rest of each band
+    is compared pair by pair in bounded blocks. So no link that would join two classes is
+    lost, and the number of Spark jobs does not depend on the texts but for the depth of
+    the components. Texts without words share one ``h``.
     """
     n_bands = permutations // BAND_ROWS
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    texts = texts.where("doc_id is not null").withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
-    single = texts.groupBy("h").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("id"))
 
-    @F.pandas_udf("bands array<long>, runs array<long>")
+    @F.pandas_udf("bands array<long>, size int")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hasher = MinHash(shingle, permutations)
         for batch in batches:
-            bands, runs = [], []
+            out = []
             for text in batch:
-                own, table = hasher.shingles(text), hasher.signature(text).reshape(n_bands, -1)
-                named = [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(table)]
-                bands.append(named if len(own) else [])
-                runs.append(own.view(np.int64))
-            yield pd.DataFrame({"bands": bands, "runs": runs})
-
-    signed = materialize(single.select("h", "id", sign("text").alias("s")).select("h", "id", "s.bands", "s.runs"), "signed")
-    sets, found = signed.select("id", "runs"), None
-    left = materialize(signed.select("id", F.explode("bands").alias("band")), "bands")
-    while True:
-        first = left.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        met = materialize(left.join(first, "band").where("id <> a").withColumnRenamed("id", "b"), "met")
-        if met.isEmpty():
-            break
-        likely = materialize(_jaccard(met.select("a", "b").distinct(), sets), "likeness")
-        judged = materialize(met.join(likely, ["a", "b"]), "judged")
-        dropped = judged.where(F.col("j") >= similarity)
-        missed = judged.where((F.col("j") < similarity) & (F.col("j") >= 2 * similarity - 1))
-        across = dropped.select("band", F.col("b").alias("a")).join(missed.select("band", "b"), "band")
-        across = _jaccard(across.select("a", "b").distinct(), sets)
-        linked = likely.unionByName(across).where(F.col("j") >= similarity).select("a", "b")
-        found = materialize(linked if found is None else found.unionByName(linked), "found")
-        left = judged.where(F.col("j") < similarity).select(F.col("b").alias("id"), "band")
-    classes = signed.select("h", "id")
-    if found is not None:
-        roots = components(found).withColumnRenamed("node", "id")
-        classes = classes.join(roots, "id", "left").select("h", F.coalesce("root", "id").alias("id"))
-    return texts.select("doc_id", "h").join(classes, "h").select("doc_id", F.col("id").alias("class_id"))
+                runs = hasher.shingles(text)
+                table = hasher.signed(runs).reshape(n_bands, -1)
+                bands = [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(table)]
+                out.append((bands if len(runs) else [], len(runs)))
+            yield pd.DataFrame(out, columns=["bands", "size"])
+
+    @F.pandas_udf("array<long>")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hasher = MinHash(shingle, permutations)
+        for batch in batches:
+            yield pd.Series([hasher.shingles(t).view(np.int64) for t in batch])
+
+    single = rows.select("id", "h", sign("text").alias("s")).groupBy("h").agg(F.min("id").alias("id"), F.first("s").alias("s"))
+    signed = materialize(single.select("h", "id", "s.*", F.monotonically_increasing_id().alias("node")), "signed")
+    bands = signed.select("node", "size", F.explode("bands").alias("band"))
+    first = bands.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = materialize(bands.join(first, "band"), "met")
+    wanted = signed.join(met.select("node").distinct(), "node").select("node", F.col("h").alias("wh"), F.col("id").alias("wid"))
+    # By id too: copies of one text, however many, do not meet in one task.
+    found = rows.join(wanted, (F.col("h") == F.col("wh")) & F.col("id").eqNullSafe(F.col("wid")))
+    sets = materialize(found.dropDuplicates(["node"]).select("node", whole("text").alias("runs")), "runs")
+    pairs = met.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    likely = materialize(_jaccard(pairs, sets), "likeness")
+    links = likely.where(F.col("j") >= similarity).select("a", "b")
+    roots = materialize(components(links), "roots")
+    judged = met.join(likely.select(F.col("a").alias("first"), F.col("b").alias("node"), "j"), ["first", "node"], "left")
+    judged = judged.join(roots, "node", "left").join(roots.select(F.col("node").alias("first"), F.col("root").alias("home")), "first", "left")
+    judged = judged.select(
+        "band", "node", "size", F.coalesce("j", F.lit(1.0)).alias("j"),
+        F.coalesce("root", "node").alias("root"), F.coalesce("home", "first").alias("home"),
+    )
+    more = materialize(_across(materialize(judged, "judged"), sets, similarity), "across")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
+    return signed.join(roots, "node", "left").select("h", F.coalesce("root", "node").alias("class"))
+
+
+def near_duplicates(
+    documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, permutations: int = PERMUTATIONS
+) -> DataFrame:
+    """``doc_id``, ``class_id``: the smallest doc_id reachable over links of at least ``similarity``.
+
+    See :func:`classes`. Null and empty texts link to each other alone; rows without a
+    doc_id take no part; repeated rows and extra columns do no harm.
+    """
+    rows = named(documents).where("id is not null")
+    found = classes(rows, shingle, similarity, permutations)
+    least = rows.groupBy("h").agg(F.min("id").alias("least")).join(found, "h")
+    least = materialize(least, "least")
+    ids = least.groupBy("class").agg(F.min("least").alias("class_id"))
+    names = least.join(ids, "class").select("h", "class_id")
+    return rows.select("id", "h").join(names, "h").select(F.col("id").alias("doc_id"), "class_id")
+
+
+def keep_one(
+    documents: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, permutations: int = PERMUTATIONS
+) -> DataFrame:
+    """``documents`` with one row left of each class of near-duplicates, all columns kept.
+
+    Letters of either case are alike. The row with the smallest doc_id stays (null last),
+    among equal ids the one with the smallest hash of its text, and one of several equal rows.
+    """
+    rows = named(documents.select("doc_id", F.lower("text").alias("text"), F.xxhash64("text").alias("key")), "key")
+    found = classes(rows, shingle, similarity, permutations)
+    row = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("doc_id"), F.col("key").alias("h"))
+    least = rows.groupBy("h").agg(F.min(row).alias("row")).join(found, "h")
+    return rows_of(documents, least.groupBy("class").agg(F.min("row").alias("row")))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adloom.llm.common import unused
+from adloom.llm.common import rows_of
 from adloom.llm.components import components
 from adloom.workspace import materialize
 
@@ -103,8 +103,6 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     The row with the smallest doc_id stays (null last), among equal ids the one with the
     smallest hash of its text, and one of several equal rows.
     """
-    fp, key, nth, *own = (unused(documents, f"_{c}") for c in ("fp", "key", "nth", "id", "least"))
-    id_, least = own
     prints = with_fingerprint(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "fp", shingle)
     prints = materialize(
         prints.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h")).alias("row"), "fp"), "fingerprints"
@@ -112,9 +110,4 @@ def keep_one(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     roots = components(links(prints, radius)).withColumnRenamed("node", "fp")
     classes = prints.groupBy("fp").agg(F.min("row").alias("row")).join(roots, "fp", "left")
     kept = classes.groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row"))
-    kept = kept.select(F.col("row.doc_id").alias(id_), F.col("row.h").alias(least))
-    keyed = documents.withColumn(key, F.xxhash64("text"))
-    found = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(least)))
-    twins = Window.partitionBy(id_, least).orderBy(F.lit(0))
-    single = found.withColumn(nth, F.row_number().over(twins)).where(F.col(nth) == 1)
-    return single.select(*[single[f"`{c}`"] for c in documents.columns])
+    return rows_of(documents, kept)

@@ -211,3 +211,52 @@ def test_pipeline_on_edge_rows(spark, docs, tmp_path):
         frame = stage(spark, frame, str(tmp_path))
         assert frame.columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def plain_runs(text):
+    words = (text or "").lower().split()
+    k = min(5, len(words))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else {()}
+
+
+def plain_kept(rows):
+    """Ids of the rows (id, text) that stay if one of each group with Jaccard >= 0.8 does."""
+    runs = [plain_runs(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i, x in enumerate(runs):
+        for j in range(i):
+            if len(x & runs[j]) >= 0.8 * len(x | runs[j]):
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(least.get(r, i), i)
+    return sorted(least.values())
+
+
+def near_texts(seed=5):
+    """Texts and copies at 0.6 to 1 of one another, chains among them, and one large group of near misses."""
+    random, rows = np.random.default_rng(seed), []
+    for n in range(30):
+        words = [f"w{x}" for x in random.integers(0, 5000, 300)]
+        for edits in (0, 1, 3, 5, 7, 9, 12):
+            rows.append(" ".join(words))
+            for at in random.integers(0, 300, edits):
+                words[at] = f"e{random.integers(1 << 30)}"
+    page = [f"p{i}" for i in range(300)]
+    for n in range(200):
+        words = list(page)
+        for at in random.integers(0, 300, 4 + n % 4):
+            words[at] = f"f{n}-{at}"
+        rows.append(" ".join(words))
+    return list(enumerate(rows + [rows[3], rows[4].upper()]))
+
+
+def test_pipeline_drops_pairs_of_likeness_080(spark, monkeypatch):
+    rows = near_texts()
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = plain_kept(rows)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()) == want
+    monkeypatch.setattr(minhash, "BLOCK", 8)  # the large group spans many blocks
+    got = minhash.near_duplicates(frame.selectExpr("doc_id", "lower(text) AS text")).collect()
+    assert sorted({r["class_id"] for r in got}) == want
