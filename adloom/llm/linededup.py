@@ -12,7 +12,8 @@ first and last 2^k lines and the same length) are one interval of the longest co
 prefix. Windows are taken forwards from each line and backwards from each line, so their
 union is exactly the union of all maximal repeated runs of at least ``MIN_WORDS`` words: a
 run's line either starts a window that ends in the run, or lies in the window that ends
-with the run. The first suffix of an interval stays, the windows of all others are deleted.
+with the run. The first suffix of an interval stays, the windows of all others are deleted, also where
+they overlap the first.
 Ranks are needed up to the length of the longest window only, so doubling stops there.
 """
 
@@ -139,7 +140,9 @@ def dedup_lines(documents: DataFrame, least: int = MIN_WORDS, removed: str | Non
     A run is one or more whole lines, equal to the last character, with at least ``least``
     words together. Of all its copies the first stays, by doc_id (null last), then by a
     hash of the text, then by line; copies inside one document count too, and of rows equal
-    in doc_id and text one stays whole. Every row is kept: a document that consisted of
+    in doc_id and text one stays whole. Copies that overlap the first inside one document
+    take the lines they share with it along, so a periodic run shrinks to one period, which
+    may have fewer than ``least`` words. Every row is kept: a document that consisted of
     copies has an empty text. Null and empty texts are left as they are. Other columns are
     passed on, but one named n_chars gets the new length where a text has changed.
     ``removed`` names a column to add, the number of deleted lines.
