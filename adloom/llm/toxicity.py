@@ -7,7 +7,8 @@ in toxic and another in clean texts; a given label is wrong with a small fixed p
 Expectation maximisation estimates these accuracies. Within a class, voters that fire
 together more often than independent ones would are correlated; each voter's evidence is
 divided by one plus its positive correlations, and the model is fitted again. The
-posteriors are the labels on which a linear classifier is trained.
+posteriors of labelled documents are the labels on which a linear classifier is trained;
+documents without a label shape the accuracies and train nothing else.
 
 There are at most 3 * 2^12 combinations of votes and label, whatever the corpus, so their
 counts are all that the driver needs. Terms and the classifier are fitted on a sample of
