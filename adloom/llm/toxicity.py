@@ -11,13 +11,14 @@ posteriors of labelled documents are the labels on which a linear classifier is
 documents without a label shape the accuracies and train nothing else.
 
 There are at most 3 * 2^12 combinations of votes and label, whatever the corpus, so their
-counts are all that the driver needs. Terms and the classifier are fitted on a sample of
-at most about ``SAMPLE`` labelled rows; all counts of votes cover every document.
+counts are all that the driver needs. Terms are counted over all labelled rows, votes over
+every document; only the classifier is fitted on a sample of about ``SAMPLE`` labelled rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,12 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.llm.common import uniform, unused
+from adloom.operators.lookup import lookup_join
 from adloom.workspace import materialize
 
 #: Expected number of labelled rows in the sample.
 SAMPLE = 20_000
 #: Most terms that are learned, and the least log odds ratio, two standard errors down.
 TERMS, LEAST_ODDS = 3000, 2.5
+#: Most terms that a task counts before it hands its counts on.
+COUNTED = 300_000
 #: How often a given label is taken to be wrong. Held fixed, it ties the hidden class to the labels.
 LABEL_ERROR = 0.01
 #: Texts at or above this score are rejected.
@@ -148,24 +152,42 @@ def label_model(votes: np.ndarray, label: np.ndarray, count: np.ndarray, rounds:
     return posterior, correlation
 
 
-def _learned_terms(sample: DataFrame) -> dict[str, int]:
-    """Terms whose presence raises the odds of a toxic label, each given to one voter."""
+def _learned_terms(labelled: DataFrame) -> dict[str, int]:
+    """Terms whose presence raises the odds of a toxic label, each given to one voter.
 
-    @F.pandas_udf("array<string>")
-    def all_terms(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(terms(t)) for t in texts])
+    ``labelled`` has ``text`` and ``toxic``, and all of it is counted: each task adds up its
+    own terms, so a term is shuffled once for each time that a task's counts are full.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, bad = Counter(), Counter()
 
-    totals = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    toxic, clean = totals["t"], totals["n"] - totals["t"]
-    if not toxic or not clean:
+        def full() -> pd.DataFrame:
+            return pd.DataFrame([(t, bad[t], n) for t, n in seen.items()], columns=["term", "a", "n"])
+
+        for batch in batches:
+            for text, toxic in zip(batch["text"], batch["toxic"]):
+                own = terms(text) | {""}  # no term is empty: its counts are those of the rows
+                seen.update(own)
+                if toxic:
+                    bad.update(own)
+                if len(seen) >= COUNTED:
+                    yield full()
+                    seen.clear()
+                    bad.clear()
+        yield full()
+
+    seen = labelled.select("text", "toxic").mapInPandas(count, "term string, a long, n long")
+    seen = seen.groupBy("term").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    seen = materialize(seen.where("a >= 5 OR term = ''"), "terms")
+    totals = seen.where("term = ''").first()
+    if not totals or totals["a"] in (0, totals["n"]):
         return {}
-    seen = sample.select("toxic", F.explode(all_terms("text")).alias("term")).groupBy("term").agg(
-        F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("n")
-    )
+    toxic, clean = totals["a"], totals["n"] - totals["a"]
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     odds = F.log(a / (toxic - F.col("a") + 0.5)) - F.log(b / (clean - F.col("n") + F.col("a") + 0.5))
     error = F.sqrt(1 / a + 1 / b + 1 / (toxic - F.col("a") + 0.5) + 1 / (clean - F.col("n") + F.col("a") + 0.5))
-    strong = seen.where("a >= 5").withColumn("low", odds - 2 * error).where(F.col("low") >= LEAST_ODDS)
+    strong = seen.where("a >= 5 AND term <> ''").withColumn("low", odds - 2 * error).where(F.col("low") >= LEAST_ODDS)
     # Terms with one beginning go to one voter: they say much the same.
     voter = F.pmod(F.xxhash64(F.substring("term", 1, min(PREFIXES))), F.lit(LEARNED)).cast("int")
     best = strong.orderBy(F.desc("low"), "term").limit(TERMS).select("term", voter.alias("voter")).collect()
@@ -181,11 +203,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
     given = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     given = given.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     given = materialize(given, "given")
-    rate = SAMPLE / max(given.count(), 1)
+    labelled = given.count()
+    rate = SAMPLE / max(labelled, 1)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     drawn = F.broadcast(given.where(uniform("doc_id") < rate))  # SAMPLE rows of two numbers
     sample = materialize(texts.join(drawn, "doc_id"), "sample")
-    model = Model(_learned_terms(sample))
+    model = Model(_learned_terms(lookup_join(texts, given, "doc_id", "inner", right_rows=labelled)))
 
     @F.pandas_udf("hits array<string>, votes int")
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

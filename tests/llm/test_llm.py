@@ -260,3 +260,10 @@ def test_pipeline_drops_pairs_of_likeness_080(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)  # the large group spans many blocks
     got = minhash.near_duplicates(frame.selectExpr("doc_id", "lower(text) AS text")).collect()
     assert sorted({r["class_id"] for r in got}) == want
+
+
+def test_terms_are_counted_over_all_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 8)
+    rows = spark.range(1200).selectExpr("id AS doc_id", "concat('plain word', if(id % 12 = 0, ' rareword', '')) AS text")
+    labels = spark.range(1200).selectExpr("id AS doc_id", "int(id % 4 = 0) AS toxic")
+    assert "rareword" in toxicity.fit(rows, labels).learned
