@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import linededup, mixing, urls
+from adloom.llm import fim, linededup, mixing, urls
 
 
 def _mix() -> str:
@@ -98,4 +98,35 @@ SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(r.text, '') END AS t
 FROM documents d LEFT JOIN rest r ON d.doc_id = r.doc_id"""
 
 
-ORACLES: dict[str, str] = {"op2_mix": _mix(), "op4_urls": _urls(), "op8_lines": _lines()}
+def _fim() -> str:
+    draw = "CAST('0x' || substr(sha256('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), {at}, 8) AS BIGINT)"
+    draws = ", ".join(f"{draw.format(seed=fim.SEED, at=8 * i + 1)} AS h{i + 1}" for i in range(4))
+    marked = " OR ".join(f"contains(t, '{m}')" for m in (fim.PREFIX, fim.SUFFIX, fim.MIDDLE))
+    return f"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, {draws},
+         regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units
+  FROM documents),
+formed AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+         greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+         CASE WHEN t = '' OR {marked} OR h3 % 100 >= {fim.RATE} THEN 'plain'
+              WHEN h4 % 100 < {fim.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+         array_to_string(units[b + 1:n], '') AS suffix
+  FROM formed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t
+              WHEN 'psm' THEN '{fim.PREFIX}' || prefix || '{fim.SUFFIX}' || suffix || '{fim.MIDDLE}' || middle
+              ELSE '{fim.SUFFIX}' || suffix || '{fim.PREFIX}' || prefix || '{fim.MIDDLE}' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts"""
+
+
+ORACLES: dict[str, str] = {
+    "op2_mix": _mix(), "op4_urls": _urls(), "op8_lines": _lines(), "op11_fim": _fim(),
+}
