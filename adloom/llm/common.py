@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def finished(table: DataFrame) -> None:
+    """Have Spark drop the shuffle files of what has been written to ``table``.
+
+    Spark removes them once the driver no longer holds the plan that made them, which a
+    large heap may put off until the disks are full.
+    """
+    gc.collect()
+    table.sparkSession.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

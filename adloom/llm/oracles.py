@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adloom.llm import fim, linededup, mixing, urls
+from adloom.llm import fim, linededup, mixing, substrings, urls
 
 
 def _mix() -> str:
@@ -127,6 +127,26 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
 FROM parts"""
 
 
+def _substrings() -> str:
+    w = substrings.WINDOW
+    return f"""
+WITH split AS (
+  SELECT doc_id, coalesce(doc_id, {substrings.LAST}) AS d, row_number() OVER () AS n,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+place AS (SELECT n, d, words, unnest(range(1, len(words) - {w - 2})) AS i FROM split WHERE len(words) >= {w}),
+named AS (SELECT n, d, i, array_to_string(words[i:i + {w - 1}], ' ') AS run FROM place),
+firsts AS (SELECT run, min(d) AS first FROM named GROUP BY run HAVING min(d) < max(d)),
+gone AS (
+  SELECT DISTINCT n, unnest(range(i, i + {w})) AS i FROM named JOIN firsts ON named.run = firsts.run WHERE d > first),
+lost AS (SELECT n, list(i) AS at FROM gone GROUP BY n)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(at), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(
+         CASE WHEN at IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(at, i)) END, ' ')) AS kept_sha256
+FROM split LEFT JOIN lost ON split.n = lost.n"""
+
+
 ORACLES: dict[str, str] = {
     "op2_mix": _mix(), "op4_urls": _urls(), "op8_lines": _lines(), "op11_fim": _fim(),
+    "op12_substrings": _substrings(),
 }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adloom.llm import bpe, fim, linededup, minhash, mixing, multi_index, shards, simhash, token_counts, toxicity, urls
+from adloom.llm import (
+    bpe, fim, linededup, minhash, mixing, multi_index, shards, simhash, substrings, token_counts, toxicity, urls,
+)
 
 SHARDS = 8
 
@@ -62,11 +64,15 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digest(_read(spark, sf_dir, "documents"))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_shards, op2_mix, op3_neighbours, op4_urls, op5_token_counts,
         op6_simhash, op7_minhash, op8_lines, op9_toxicity, op10_bpe,
-        op11_fim,
+        op11_fim, op12_substrings,
     )
 }
