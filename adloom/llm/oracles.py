@@ -139,10 +139,10 @@ named AS (SELECT n, d, i, array_to_string(words[i:i + {w - 1}], ' ') AS run FROM
 firsts AS (SELECT run, min(d) AS first FROM named GROUP BY run HAVING min(d) < max(d)),
 gone AS (
   SELECT DISTINCT n, unnest(range(i, i + {w})) AS i FROM named JOIN firsts ON named.run = firsts.run WHERE d > first),
-lost AS (SELECT n, list(i) AS at FROM gone GROUP BY n)
-SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(at), 0) AS BIGINT) AS n_removed,
+lost AS (SELECT n, list(i) AS spots FROM gone GROUP BY n)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(spots), 0) AS BIGINT) AS n_removed,
        sha256(array_to_string(
-         CASE WHEN at IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(at, i)) END, ' ')) AS kept_sha256
+         CASE WHEN spots IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(spots, i)) END, ' ')) AS kept_sha256
 FROM split LEFT JOIN lost ON split.n = lost.n"""
 
 
