@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from adloom.llm import (
     bpe, fim, linededup, minhash, mixing, multi_index, shards, simhash, substrings, token_counts, toxicity, urls,
+    whitening,
 )
 
 SHARDS = 8
@@ -68,11 +69,15 @@ def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(_read(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_shards, op2_mix, op3_neighbours, op4_urls, op5_token_counts,
         op6_simhash, op7_minhash, op8_lines, op9_toxicity, op10_bpe,
-        op11_fim, op12_substrings,
+        op11_fim, op12_substrings, op13_whitening,
     )
 }
