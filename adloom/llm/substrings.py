@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adloom.llm.common import finished
@@ -41,7 +41,7 @@ FILTER_BYTES = 32 << 20
 MOST_BITS, LEAST_BITS = 12, 4
 #: Largest table that is broadcast to a join, measured.
 BROADCAST_BYTES = 24 << 20
-#: A window is hot above one part in this many of all repeated ones.
+#: A window is hot above one part in this many of all places of repeated ones.
 HOT = 1024
 #: Texts are taken in slices of about this many bytes, words in pieces of about this many.
 SLICE, PIECE = 4 << 20, 1 << 18
@@ -157,7 +157,7 @@ def _short(h: np.ndarray) -> np.ndarray:
 
 
 def _counted(texts: DataFrame, width: int) -> DataFrame:
-    """``h``: short hashes of windows that occur in more than one row."""
+    """``h``, ``places``: short hashes of windows that occur in more than one row, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in _slices(batches, 0):
@@ -167,14 +167,15 @@ def _counted(texts: DataFrame, width: int) -> DataFrame:
                 order = np.lexsort((text, h))
                 h, text = h[order], text[order]
                 new = np.r_[True, h[1:] != h[:-1]]
-                row = new | np.r_[True, text[1:] != text[:-1]]  # a row counts once
+                row = new | np.r_[True, text[1:] != text[:-1]]
                 firsts = np.flatnonzero(new)
                 rows = np.add.reduceat(row, firsts, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h[firsts]), pa.array(rows)], ["h", "n"])
+                places = np.diff(np.r_[firsts, len(h)])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h[firsts], rows, places)], ["h", "n", "places"])
 
     # Slices have added up their own rows, so a hot window is a row for each slice.
-    seen = texts.select("text").mapInArrow(run, "h long, n long").repartition("h")
-    return seen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    seen = texts.select("text").mapInArrow(run, "h long, n long, places long").repartition("h")
+    return seen.groupBy("h").agg(F.sum("n").alias("n"), F.sum("places").alias("places")).where("n > 1").select("h", "places")
 
 
 class Filter:
@@ -242,23 +243,24 @@ def _candidates(texts: DataFrame, kept: tuple[Filter, bytes] | None, width: int)
     return texts.select("d", "a", "text").mapInArrow(run, "h long, check int, d long, a long, pos int")
 
 
-def _later(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``d``, ``a``, ``pos`` of the windows that start in a row with a smaller id, too; and the table of firsts."""
-    firsts = candidates.groupBy("h", "check").agg(
-        F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")
-    )
-    firsts = firsts.where("first < last").select("h", F.col("check").alias("same"), "first", "n")
-    firsts = materialize(firsts, "firsts")
-    sizes = firsts.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("places")).first()
-    right = firsts.drop("n")
-    if sizes["rows"] * 48 <= BROADCAST_BYTES:
-        joined = candidates.join(F.broadcast(right), "h")
-    else:  # hot windows, fewer than HOT, are answered where they lie
-        hot = F.broadcast(firsts.where(F.col("n") * HOT > sizes["places"]).select("h").distinct())
-        joined = candidates.join(hot, "h", "left_anti").join(right, "h").unionByName(
-            candidates.join(F.broadcast(right.join(hot, "h", "left_semi")), "h")
-        )
-    return joined.where("check = same AND d > first").select("d", "a", "pos"), firsts
+def _later(candidates: DataFrame, hot: DataFrame) -> DataFrame:
+    """``d``, ``a``, ``pos`` of the windows that start in a row with a smaller id, too.
+
+    Windows of one name meet in one task, but for those whose short hash is in ``hot``,
+    fewer than ``HOT``: of these the least id is found by partial sums and sent to the rows.
+    """
+    name = ["h", "check"]
+    if hot.isEmpty():
+        cold, warm = candidates, None
+    else:
+        short, hot = F.shiftrightunsigned("h", _SHORT), F.broadcast(hot.withColumnRenamed("h", "short"))
+        cold = candidates.join(hot, short == F.col("short"), "left_anti")
+        warm = candidates.join(hot, short == F.col("short"), "left_semi")
+    found = cold.withColumn("first", F.min("d").over(Window.partitionBy(*name)))
+    if warm is not None:
+        least = warm.groupBy(*name).agg(F.min("d").alias("first"))
+        found = found.unionByName(warm.join(F.broadcast(least), name).select(*found.columns))
+    return found.where("d > first").select("d", "a", "pos")
 
 
 def intervals(documents: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -268,10 +270,10 @@ def intervals(documents: DataFrame, width: int = WINDOW) -> DataFrame:
     """
     repeated = materialize(_counted(documents, width), "repeated")
     finished(repeated)
-    kept = _filter(repeated, repeated.count())
-    release(repeated)
+    total = repeated.agg(F.count(F.lit(1)).alias("hashes"), F.sum("places").alias("places")).first()
+    kept = _filter(repeated, total["hashes"])
     candidates = materialize(_candidates(documents, kept, width), "candidates")
-    later, firsts = _later(candidates)
+    later = _later(candidates, repeated.where(F.col("places") * HOT > (total["places"] or 0)).select("h"))
     places = later.groupBy("d", "a").agg(F.array_sort(F.collect_set("pos")).alias("p"))
     n = F.size("p")
     begins = F.filter("p", lambda x, i: (i == 0) | (x - F.get("p", i - 1) > width))
@@ -279,12 +281,12 @@ def intervals(documents: DataFrame, width: int = WINDOW) -> DataFrame:
     lasts = F.transform(lasts, lambda x: x + (width - 1))
     spans = F.arrays_zip(begins.alias("first"), lasts.alias("last"))
     spans = materialize(places.select("d", "a", spans.alias("spans")), "spans")
+    release(repeated)
     release(candidates)
-    release(firsts)
+    finished(spans)
     return spans
 
 
-
 def dedup_windows(documents: DataFrame, width: int = WINDOW) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``spans``, ``text`` of every row.
 

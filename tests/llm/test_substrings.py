@@ -60,7 +60,7 @@ def test_rows_are_those_of_a_plain_version(docs, monkeypatch):
     want = plain(rows_with_copies())
     assert got(substrings.digest(docs)) == want
     assert substrings.digest(docs.where("false")).collect() == []
-    # Hot windows apart, no broadcast, and no filter: the same rows.
+    # Hot windows apart, spans not broadcast, other copies set aside, and no filter: the same rows.
     monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(substrings, "HOT", 50)
     monkeypatch.setattr(substrings, "HEAVY", 3)
