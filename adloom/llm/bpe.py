@@ -23,7 +23,6 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import Memory
+from adloom.llm.common import Memory, held
 
 #: Encoded words (in each of two generations) and arcs that a task remembers.
 REMEMBERED_WORDS = 250_000
@@ -170,11 +169,6 @@ class Automaton:
         return b"".join(map(self.label.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(1)
-def _automaton(vocabulary: bytes) -> Automaton:
-    return Automaton(vocabulary)
-
-
 def encode(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     """``doc_id``, ``ids`` (binary, little-endian 32-bit), ``decoded`` of every document.
 
@@ -185,7 +179,7 @@ def encode(documents: DataFrame, vocabulary_path: str) -> DataFrame:
         vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _automaton(vocabulary.value)
+        bpe = held(("bpe", vocabulary.value), lambda: Automaton(vocabulary.value))
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):  # results are as large as the texts
                 part = batch.slice(at, _SLICE)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,26 @@ def finished(table: DataFrame) -> None:
     table.sparkSession.sparkContext._jvm.System.gc()
 
 
+_held: list = [None, None]
+
+
+def held(key, make: Callable | None = None):
+    """What ``make`` gives, kept by a Python worker until it is asked for another key.
+
+    Workers outlive their stage, and tables of a stage that is over would stay in all of
+    them. So a worker holds one thing at a time, and hands freed memory back to the system.
+    """
+    if _held[0] != key:
+        _held[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+        _held[:] = [key, make() if make else None]
+    return _held[1]
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import uniform, unused
+from adloom.llm.common import held, uniform, unused
 from adloom.operators.lookup import lookup_join
 from adloom.workspace import materialize
 
@@ -160,6 +160,7 @@ def _learned_terms(labelled: DataFrame) -> dict[str, int]:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held("toxicity")
         seen, bad = Counter(), Counter()
 
         def full() -> pd.DataFrame:
@@ -212,6 +213,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
 
     @F.pandas_udf("hits array<string>, votes int")
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        held("toxicity")
         for batch in batches:
             yield pd.DataFrame([model.look(t) for t in batch], columns=["hits", "votes"])
 
@@ -262,6 +264,7 @@ def with_score(documents: DataFrame, model: Model, name: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        held("toxicity")
         for batch in batches:
             yield pd.Series([model.score(t) for t in batch], dtype="float64")
 

@@ -267,3 +267,13 @@ def test_terms_are_counted_over_all_labels(spark, monkeypatch):
     rows = spark.range(1200).selectExpr("id AS doc_id", "concat('plain word', if(id % 12 = 0, ' rareword', '')) AS text")
     labels = spark.range(1200).selectExpr("id AS doc_id", "int(id % 4 = 0) AS toxic")
     assert "rareword" in toxicity.fit(rows, labels).learned
+
+
+def test_a_worker_holds_one_thing():
+    from adloom.llm.common import _held, held
+
+    made = []
+    assert held("a", lambda: made.append("a") or [1]) == [1] and held("a", lambda: made.append("again")) == [1]
+    assert held("b") is None and _held == ["b", None]
+    assert held("a", lambda: made.append("a") or [2]) == [2] and made == ["a", "a"]
+    held(None)
