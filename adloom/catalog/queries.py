@@ -607,11 +607,12 @@ def _convex_data(spark, d):
 
 
 def train_lr_l2(spark, d):
-    return convex.train_lr_l2(*_convex_data(spark, d)).weights.select("sign", r("w", 4).alias("w"))
+    fit = convex.train_lr_l2(*_convex_data(spark, d), tol=1e-7, solver="tables")
+    return fit.weights.select("sign", r("w", 4).alias("w"))
 
 
 def train_lr_elastic(spark, d):
-    fit = convex.train_lr_elastic(*_convex_data(spark, d), l1=3.0, l2=5.0)
+    fit = convex.train_lr_elastic(*_convex_data(spark, d), l1=3.0, l2=5.0, tol=1e-13, solver="path")
     return fit.weights.select("sign", r("w", 4).alias("w"))
 
 

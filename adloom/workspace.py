@@ -48,9 +48,13 @@ def materialize(
 def release(table: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing will read again."""
     context = table.sparkSession.sparkContext
-    root = shared_dir(table.sparkSession).rstrip("/") + "/adloom/"
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if root.split(":", 1)[-1].lstrip("/") not in folder:
-            raise ValueError(f"{folder} is no written table of this engine")
+    ours = shared_dir(table.sparkSession).rstrip("/").split(":", 1)[-1].lstrip("/") + "/adloom/"
+    folders = set()
+    for file in table.inputFiles():
+        before, found, inside = file.partition(ours)
+        if not found:
+            raise ValueError(f"{file} is in no written table of this engine")
+        folders.add(before + found + inside.split("/")[0])  # a partitioned table goes with all its folders
+    for folder in folders:
         path = context._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

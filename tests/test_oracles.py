@@ -8,7 +8,7 @@ from adloom.catalog.oracles import ORACLES
 from adloom.catalog.queries import QUERIES
 
 SQLS = oracle_sql()
-HEAVY = {"train_dnn_embedding", "train_dnn_discrete", "train_lr_l2", "train_lr_elastic"}
+HEAVY = {"train_dnn_embedding", "train_dnn_discrete"}
 
 
 @pytest.fixture(scope="module")
