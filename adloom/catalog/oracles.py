@@ -316,6 +316,61 @@ SELECT instance_id, label, round(1 / (1 + exp(-({z}))), 6) + 0.0 AS p FROM (
     GROUP BY instance_id))"""
 
 
+def net_step_sql() -> str:
+    """Gradients of the small net's layers from last to first, then one step of Adam."""
+    def w(layer: int, a: str, b: str) -> str:
+        return f"((({a}) * 13 + ({b}) * 7 + {layer}) % 11 - 5) / 10.0"
+
+    def total(*terms: str) -> str:
+        return " + ".join(terms)
+
+    first = ", ".join(f"0.1137 + coalesce(sum(pool * {w(1, 'slot_idx', str(j))}), 0) AS a{j}" for j in range(4))
+    second = ", ".join(
+        total("0.1", *[f"greatest(a{i}, 0) * {w(2, str(i), str(j))}" for i in range(4)]) + f" AS t{j}" for j in range(3)
+    )
+    z = total("0.1", *[f"t{i} * {w(3, str(i), '0')}" for i in range(3)])
+    back = ", ".join(
+        f"CASE WHEN a{i} > 0 THEN d * ({total(*[f'({w(2, str(i), str(j))}) * ({w(3, str(j), chr(48))})' for j in range(3)])}) ELSE 0 END AS e{i}"
+        for i in range(4)
+    )
+    one = [f"SELECT 'w3', {j}, 0, sum(d * t{j}) FROM b" for j in range(3)] + ["SELECT 'b3', 0, 0, sum(d) FROM b"]
+    one += [f"SELECT 'w2', {i}, {j}, sum(greatest(a{i}, 0) * d * {w(3, str(j), '0')}) FROM b" for i in range(4) for j in range(3)]
+    one += [f"SELECT 'b2', 0, {j}, sum(d * {w(3, str(j), '0')}) FROM b" for j in range(3)]
+    one += [f"SELECT 'b1', 0, {i}, sum(e{i}) FROM b" for i in range(4)]
+    one += [f"SELECT 'w1', slot_idx, {i}, coalesce(sum(pool * e{i}), 0) FROM slots LEFT JOIN pooled USING (slot_idx) LEFT JOIN b USING (instance_id) GROUP BY slot_idx" for i in range(4)]
+    into = total(*[f"e{i} * {w(1, 'p.slot_idx', str(i))}" for i in range(4)])
+    start = " ".join(f"WHEN '{c}' THEN {v}" for c, v in (
+        ("w1", w(1, "row", "k")), ("w2", w(2, "row", "k")), ("w3", w(3, "row", "k")), ("emb", "emb0"), ("b1", "0.1137"),
+    ))
+    return with_(
+        *ENCODED,
+        "active AS MATERIALIZED (SELECT DISTINCT instance_id, slot_idx, feat_idx FROM enc)",
+        "value AS (SELECT slot_idx, unnest(range(n_feats + 1)) AS feat_idx FROM slots)",
+        """
+position AS MATERIALIZED (
+  SELECT slot_idx, feat_idx, ((slot_idx * 31 + feat_idx * 17) % 23 - 11) / 10.0 AS emb0,
+    row_number() OVER (ORDER BY slot_idx, feat_idx) - 1 AS row FROM value)""",
+        "pooled AS MATERIALIZED (SELECT instance_id, slot_idx, sum(emb0) AS pool FROM active JOIN position USING (slot_idx, feat_idx) GROUP BY instance_id, slot_idx)",
+        f"one_layer AS (SELECT instance_id, max(label) AS label, {first} FROM ev LEFT JOIN pooled USING (instance_id) GROUP BY instance_id)",
+        f"two_layers AS (SELECT *, {second} FROM one_layer)",
+        f"scored AS (SELECT *, {z} AS z FROM two_layers)",
+        "slope AS (SELECT *, (1 / (1 + exp(-z)) - label) / (SELECT count(*) FROM ev) AS d FROM scored)",
+        f"b AS MATERIALIZED (SELECT *, {back} FROM slope)",
+        f"""
+gradient(layer, row, k, g) AS (
+  {' UNION ALL '.join(one)}
+  UNION ALL SELECT 'emb', row, 0, coalesce(sum({into}), 0)
+  FROM position p LEFT JOIN active a ON p.slot_idx = a.slot_idx AND p.feat_idx = a.feat_idx
+    LEFT JOIN b ON b.instance_id = a.instance_id
+  GROUP BY row)""",
+    ) + f"""
+SELECT layer, CAST(row AS INTEGER) AS row, CAST(k AS INTEGER) AS k, round(
+    CASE layer {start} ELSE 0.1 END - 0.001 * sqrt(1 - 0.999) / (1 - 0.9) * 0.1 * g / (sqrt(0.001 * g * g) + 1e-8), 5) + 0.0 AS v
+FROM gradient LEFT JOIN (SELECT row AS place, emb0 FROM position) ON layer = 'emb' AND place = row
+UNION ALL
+SELECT 'loss', 0, 0, round(avg(greatest(z, 0) + ln(1 + exp(-abs(z))) - label * z), 5) + 0.0 FROM scored"""
+
+
 # ---- oracles -----------------------------------------------------------------------------
 
 FREQ = "fq AS (SELECT sign, count(*) AS freq FROM tok GROUP BY sign)"
@@ -515,6 +570,7 @@ SELECT CAST(m AS INTEGER) AS multiplier, round(loss, 4) + 0.0 AS loss,
 FROM f_l, f_best WHERE m <= least(best + 1, 99)""",
     "train_fm": with_(*EV_SPLIT, *fm_training(2, 2))
     + "SELECT sign, k, round(w, 5) + 0.0 AS w, round(v, 5) + 0.0 AS v FROM m2",
+    "train_dnn_step": net_step_sql(),
     "score_dnn": fixed_net_sql(),
     "evaluate": with_(*EV_SPLIT, *gd_steps("tr", 2, "aggregated", 1), preds("te", "w2", "pe")) + f"""
 SELECT round(auc, 6) + 0.0 AS auc, round(mae, 6) + 0.0 AS mae, round(loss, 6) + 0.0 AS loss, n, n_pos,

@@ -685,6 +685,18 @@ def score_dnn(spark, d):
     return net.score_dnn(rows, fixed_net(slots)).select("instance_id", "label", r("p").alias("p"))
 
 
+def train_dnn_step(spark, d):
+    """One step of the small net with the gradient of all instances."""
+    encoded, slots = encoded_events(spark, d)
+    rows = vocab.index_rows(encoded, slots, event_instances(spark, d))
+    start = fixed_net(slots)
+    start.params["b1"] += 0.0137  # no unit stands exactly at the kink of its ReLU
+    stepped, _, loss = net.train_step(rows, start)
+    frame = net.net_frame(spark, stepped).select("layer", "row", F.posexplode("v").alias("k", "v"))
+    whole = spark.createDataFrame([("loss", 0, 0, float(loss))], "layer string, row int, k int, v double")
+    return frame.unionByName(whole).select("layer", "row", "k", r("v", 5).alias("v"))
+
+
 def evaluate(spark, d):
     """Two full gradient steps on frequent features, then held-out AUC, MAE and loss."""
     train, held_out = split_tokens(spark, d)
@@ -767,6 +779,7 @@ QUERIES = {
     "train_fm": train_fm,
     "train_dnn_embedding": train_dnn_embedding,
     "train_dnn_discrete": train_dnn_discrete,
+    "train_dnn_step": train_dnn_step,
     "score_dnn": score_dnn,
     "evaluate": evaluate,
     "train_history": train_history,

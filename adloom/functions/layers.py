@@ -17,10 +17,10 @@ def depth(params: dict[str, np.ndarray]) -> int:
     return sum(name.startswith("w") for name in params)
 
 
-def first_layer(slot_of: np.ndarray, p: dict[str, np.ndarray], rows, flat, n: int):
+def first_layer(slot_of: np.ndarray, p: dict[str, np.ndarray], rows, flat, n: int, n_slots: int | None = None):
     """Pre-activation of layer 1, and its dense input in embedding mode."""
     if "emb" in p:
-        n_slots = slot_of[-1] + 1
+        n_slots = n_slots or slot_of[-1] + 1
         pooled = np.zeros((n * n_slots, p["emb"].shape[1]), p["emb"].dtype)
         np.add.at(pooled, rows * n_slots + slot_of[flat], p["emb"][flat])
         dense = pooled.reshape(n, -1)
@@ -31,11 +31,11 @@ def first_layer(slot_of: np.ndarray, p: dict[str, np.ndarray], rows, flat, n: in
 
 
 def gradients(
-    slot_of: np.ndarray, p: dict[str, np.ndarray], rows, flat, y
+    slot_of: np.ndarray, p: dict[str, np.ndarray], rows, flat, y, n_slots: int | None = None
 ) -> tuple[float, dict[str, np.ndarray]]:
     """Summed log loss of a minibatch and the gradient of its mean."""
     n, last = len(y), depth(p)
-    a, dense = first_layer(slot_of, p, rows, flat, n)
+    a, dense = first_layer(slot_of, p, rows, flat, n, n_slots)
     outputs = [np.maximum(a, 0.0)]
     for i in range(2, last + 1):
         outputs.append(outputs[-1] @ p[f"w{i}"] + p[f"b{i}"])
@@ -54,7 +54,7 @@ def gradients(
         np.add.at(g["w1"], flat, d[rows])
     else:
         g["w1"] = dense.T @ d
-        n_slots = slot_of[-1] + 1
+        n_slots = n_slots or slot_of[-1] + 1
         back = (d @ p["w1"].T).reshape(n * n_slots, -1)
         g["emb"] = np.zeros_like(p["emb"])
         np.add.at(g["emb"], flat, back[rows * n_slots + slot_of[flat]])
@@ -75,6 +75,45 @@ class Adam:
             params[name] = params[name] - rate * m / (np.sqrt(s) + 1e-8)
 
 
+class ActiveRows:
+    """The rows of the wide first matrix that a task has seen, in order of appearance.
+
+    The first matrix has a row for every multi-hot position, and a task meets few of them.
+    Only those are copied, get gradients and have moments: a row that was never seen has
+    moments of zero and would not move, so the result is that of the whole matrix.
+    """
+
+    def __init__(self, slot_of: np.ndarray, start: dict[str, np.ndarray]):
+        self.name = "emb" if "emb" in start else "w1"
+        self.base, self.all_slots = start[self.name], slot_of
+        self.n_slots = int(slot_of[-1]) + 1 if len(slot_of) else 0
+        self.place: dict[int, int] = {}
+        self.rows = np.zeros(0, np.int64)
+        self.params = {**start, self.name: self.base[:0]}
+
+    @property
+    def slot_of(self) -> np.ndarray:
+        return self.all_slots[self.rows]
+
+    def take_in(self, flat: np.ndarray, *moments: dict) -> np.ndarray:
+        """``flat`` positions as places among the active rows, which grow by new ones."""
+        seen, at = np.unique(flat, return_inverse=True)
+        new = [r for r in seen.tolist() if r not in self.place]
+        if new:
+            self.place.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            self.rows = np.concatenate([self.rows, new])
+            self.params[self.name] = np.concatenate([self.params[self.name], self.base[new]])
+            for m in moments:
+                if self.name in m:
+                    more = np.zeros((len(new), self.base.shape[1]), m[self.name].dtype)
+                    m[self.name] = np.concatenate([m[self.name], more])
+        return np.array([self.place[r] for r in seen.tolist()], np.int64)[at]
+
+    def all_rows(self, name: str, n: int) -> np.ndarray:
+        """The rows of the whole net that rows 0 to n-1 of a matrix stand for."""
+        return self.rows if name == self.name else np.arange(n)
+
+
 def minibatches(frames: Iterator[pd.DataFrame], size: int):
     """Cut the partition's stream into ``size`` rows each; the last one is short."""
     held: pd.DataFrame | None = None

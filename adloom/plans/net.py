@@ -79,23 +79,26 @@ def new_net(
 def _epoch_changes(shared, rate: float, size: int):
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slot_of, start = shared.value
-        params, adam = dict(start), layers.Adam(rate)
+        active, adam = layers.ActiveRows(slot_of, start), layers.Adam(rate)
+        params = active.params
         seen, loss = 0, 0.0
         for batch in layers.minibatches(frames, size):
             rows, flat = layers.flatten(batch["idx"])
+            flat = active.take_in(flat, adam.m, adam.s)
             label = batch["label"].to_numpy(params["b1"].dtype)
-            batch_loss, grads = layers.gradients(slot_of, params, rows, flat, label)
+            batch_loss, grads = layers.gradients(active.slot_of, params, rows, flat, label, active.n_slots)
             adam.step(params, grads)
             seen, loss = seen + len(batch), loss + batch_loss
         if not seen:
             return
         for name, new in params.items():
-            delta = new - start[name]
+            at = active.all_rows(name, len(new))
+            delta = new - start[name][at]
             moved = np.flatnonzero(delta.any(axis=1))
             if not len(moved):
                 continue
             yield pd.DataFrame(
-                {"layer": name, "row": moved.astype(np.int32), "delta": list(delta[moved].astype(float)),
+                {"layer": name, "row": at[moved].astype(np.int32), "delta": list(delta[moved].astype(float)),
                  "weight": float(seen)}
             )
         yield pd.DataFrame(
@@ -139,6 +142,52 @@ def train_epoch(
     return Net(net.slot_of, params), loss["mean"][0]
 
 
+def _gradient_sums(shared, size: int):
+    def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slot_of, params = shared.value
+        active, sums, loss, seen = layers.ActiveRows(slot_of, params), {}, 0.0, 0
+        for batch in layers.minibatches(frames, size):
+            rows, flat = layers.flatten(batch["idx"])
+            flat = active.take_in(flat, sums)
+            label = batch["label"].to_numpy(params["b1"].dtype)
+            batch_loss, grads = layers.gradients(active.slot_of, active.params, rows, flat, label, active.n_slots)
+            for name, g in grads.items():  # of means, so each counts for its rows
+                sums[name] = sums.get(name, 0.0) + g.astype(float) * len(batch)
+            seen, loss = seen + len(batch), loss + batch_loss
+        for name, g in sums.items():
+            yield pd.DataFrame({"layer": name, "row": active.all_rows(name, len(g)).astype(np.int32), "g": list(g)})
+        if seen:
+            yield pd.DataFrame({"layer": ["loss"], "row": [0], "g": [[loss, float(seen)]]})
+
+    return add_up
+
+
+def train_step(
+    rows: DataFrame, net: Net, adam: layers.Adam | None = None, learning_rate: float = LEARNING_RATE, batch: int = BATCH
+) -> tuple[Net, layers.Adam, float]:
+    """One step with the gradient of all ``rows``, the moments to go on with, and the mean loss.
+
+    The result is that of one process over one batch of all rows, however they are dealt
+    out: tasks add up gradients of the parameter rows that they saw, Spark adds up the
+    tasks, and what reaches the driver is one row per parameter row of the bounded net.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((net.slot_of, net.params))
+    parts = rows.select("label", "idx").mapInPandas(_gradient_sums(shared, batch), "layer string, row int, g array<double>")
+    summed = parts.groupBy("layer", "row").agg(Summarizer.sum(array_to_vector(F.col("g"))).alias("g"))
+    summed = summed.select("layer", "row", vector_to_array("g").alias("g")).collect()
+    shared.destroy()
+    total = next((r["g"] for r in summed if r["layer"] == "loss"), None)
+    if total is None:
+        raise ValueError("a net cannot be trained without rows")
+    grads = {name: np.zeros_like(value) for name, value in net.params.items()}
+    for r in summed:
+        if r["layer"] != "loss":
+            grads[r["layer"]][r["row"]] = np.asarray(r["g"]) / total[1]
+    params, adam = dict(net.params), adam or layers.Adam(learning_rate)
+    adam.step(params, grads)
+    return Net(net.slot_of, params), adam, total[0] / total[1]
+
+
 def fold(net: Net) -> tuple[np.ndarray, float]:
     """The linear layers after the first as one vector and one offset."""
     u, c = net.params["w2"], net.params["b2"]

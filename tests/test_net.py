@@ -70,6 +70,44 @@ def test_one_partition_equals_plain_training(spark, slots):
         np.testing.assert_allclose(trained.params[name], params[name], atol=1e-6)
 
 
+@pytest.mark.parametrize("mode", ["embedding", "discrete"])
+def test_active_rows_give_the_whole_matrix(slots, mode):
+    """Steps on the rows seen so far, and of the whole matrix, agree; moments follow the rows."""
+    net = nets.new_net(slots, mode, hidden=(6, 4), seed=3)
+    batches = [[[0, 5], [0]], [[2, 5], []], [[0, 6], [2]], [[], []]]
+    whole, dense = dict(net.params), layers.Adam(0.05)
+    active, sparse = layers.ActiveRows(net.slot_of, net.params), layers.Adam(0.05)
+    for idx in batches:
+        rows, flat = layers.flatten(pd.Series(idx))
+        y = np.array([1.0, 0.0], np.float32)
+        dense.step(whole, layers.gradients(net.slot_of, whole, rows, flat, y)[1])
+        places = active.take_in(flat, sparse.m, sparse.s)
+        sparse.step(active.params, layers.gradients(active.slot_of, active.params, rows, places, y, active.n_slots)[1])
+    assert sorted(active.rows) == [0, 2, 5, 6] and sparse.m[active.name].shape[0] == 4
+    for name, value in active.params.items():
+        np.testing.assert_allclose(value, whole[name][active.all_rows(name, len(value))], atol=1e-6)
+    untouched = [1, 3, 4]
+    np.testing.assert_array_equal(whole[active.name][untouched], net.params[active.name][untouched])
+
+
+@pytest.mark.parametrize("mode", ["embedding", "discrete"])
+def test_a_step_over_all_rows_is_that_of_one_process(spark, slots, mode):
+    net = nets.new_net(slots, mode, hidden=(6, 4), seed=3)
+    df = data(spark, 300).repartition(5)
+    local = df.toPandas()
+    rows, flat = layers.flatten(local["idx"])
+    params, adam, got, moments = dict(net.params), layers.Adam(0.01), net, None
+    for _ in range(3):
+        loss, g = layers.gradients(net.slot_of, params, rows, flat, local["label"].to_numpy(np.float32))
+        adam.step(params, g)
+        got, moments, mean = nets.train_step(df, got, moments, 0.01, batch=64)
+        assert mean == pytest.approx(loss / 300, rel=1e-5)
+    for name in params:
+        np.testing.assert_allclose(got.params[name], params[name], atol=2e-4)
+    with pytest.raises(ValueError):
+        nets.train_step(df.where("false"), net)
+
+
 @pytest.mark.parametrize("mode", ["embedding", "discrete"])
 def test_training_learns(spark, slots, mode):
     saved = []
