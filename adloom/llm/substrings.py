@@ -256,11 +256,22 @@ def _later(candidates: DataFrame, hot: DataFrame) -> DataFrame:
         short, hot = F.shiftrightunsigned("h", _SHORT), F.broadcast(hot.withColumnRenamed("h", "short"))
         cold = candidates.join(hot, short == F.col("short"), "left_anti")
         warm = candidates.join(hot, short == F.col("short"), "left_semi")
-    found = cold.withColumn("first", F.min("d").over(Window.partitionBy(*name)))
-    if warm is not None:
-        least = warm.groupBy(*name).agg(F.min("d").alias("first"))
-        found = found.unionByName(warm.join(F.broadcast(least), name).select(*found.columns))
-    return found.where("d > first").select("d", "a", "pos")
+    found = cold.withColumn("first", F.min("d").over(Window.partitionBy(*name))).where("d > first").select("d", "a", "pos")
+    if warm is None:
+        return found
+    rows = warm.groupBy(*name).agg(F.min("d").alias("first")).collect()  # the names of fewer than HOT short hashes
+    least = candidates.sparkSession.sparkContext.broadcast({(r["h"], r["check"]): r["first"] for r in rows})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = np.empty(batch.num_rows, [("h", np.int64), ("check", np.int32)])
+            names["h"], names["check"] = (batch.column(i).to_numpy() for i in (0, 1))
+            own, at = np.unique(names, return_inverse=True)
+            first = np.array([least.value[n] for n in own.tolist()], np.int64)[at]
+            yield batch.filter(pa.array(batch.column(2).to_numpy() > first)).select(["d", "a", "pos"])
+
+    later = warm.select("h", "check", "d", "a", "pos").mapInArrow(run, "d long, a long, pos int")
+    return found.unionByName(later)
 
 
 def intervals(documents: DataFrame, width: int = WINDOW) -> DataFrame:
