@@ -1,7 +1,7 @@
 """Sharding by sampled splitters.
 
-Records are ordered by (hash of the text, doc_id), so equal texts are neighbours. A sample
-drawn with probability in proportion to size gives quantiles of that order; they cut it
+Records are ordered by (hash of the text, doc_id, row number), so equal texts are neighbours
+and a group of equal rows, however large, can be cut. A sample drawn with probability in proportion to size gives quantiles of that order; they cut it
 into many narrow ranges. Every record is counted, and a range that turns out to hold more
 than twice its share is sampled again and cut further, until none is left that can be cut.
 Exact running sums inside the ranges then give each record its place on a line as long as
@@ -14,6 +14,7 @@ what keeps the shards even when one text holds a third of all rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,75 +33,87 @@ RANGES_PER_SHARD = 16
 OVERFULL = 2.0
 #: Groups of equal texts up to this part of a shard's bytes are not cut.
 GROUP_SHARE = 0.05
+#: Above all other numbers in a key.
+LAST = (1 << 63) - 1
+
+
+Key = tuple[int, int, int]
 
 
 @dataclass
 class Splitters:
-    """Range bounds on (h, doc_id): a record belongs to the first bound that is not below it."""
+    """Range bounds on (h, d, c): a record belongs to the first bound that is not below it."""
 
-    h: np.ndarray
-    d: np.ndarray
+    keys: list[Key]
 
-    def find(self, h: np.ndarray, d: np.ndarray) -> np.ndarray:
+    def __post_init__(self):
+        self.h = np.array([k[0] for k in self.keys], np.int64)
+
+    def find(self, h: np.ndarray, d: np.ndarray, c: np.ndarray) -> np.ndarray:
         low, high = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
-        for at in np.flatnonzero(high - low > 0):  # the hash is a bound itself
-            low[at] += np.searchsorted(self.d[low[at] : high[at]], d[at], "left")
+        for at in np.flatnonzero(high > low):  # the hash is a bound itself
+            low[at] = bisect_left(self.keys, (int(h[at]), int(d[at]), int(c[at])), int(low[at]), int(high[at]))
         return low.astype(np.int32)
 
 
-def quantiles(h: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def quantiles(keys: list[Key], n: int) -> set[Key]:
     """The n-1 inner quantiles of sampled keys."""
-    order = np.lexsort((d, h))
-    at = np.unique((np.arange(1, n) * len(order)) // n) if len(order) else np.array([], int)
-    return h[order][at], d[order][at]
-
+    keys = sorted(keys)
+    return {keys[i * len(keys) // n] for i in range(1, n)} if keys else set()
 
-def _merge(old: Splitters, h: np.ndarray, d: np.ndarray) -> Splitters:
-    pairs = sorted({*zip(old.h.tolist(), old.d.tolist()), *zip(h.tolist(), d.tolist())})
-    return Splitters(*(np.array([p[i] for p in pairs], np.int64) for i in (0, 1)))
 
+def find_ranges(records: DataFrame, bounds: Splitters) -> DataFrame:
+    """``records`` (h, d, c and more) with their ``range``."""
 
-def _ranged(records: DataFrame, bounds: Splitters) -> DataFrame:
     @F.pandas_udf("int")
-    def find(h: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series(bounds.find(h.to_numpy(np.int64), d.to_numpy(np.int64)))
+    def find(h: pd.Series, d: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series(bounds.find(*(x.to_numpy(np.int64) for x in (h, d, c))))
 
-    return records.withColumn("range", find("h", "d"))
+    return records.withColumn("range", find("h", "d", "c"))
 
 
-def _sample(records: DataFrame, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _sample(records: DataFrame, rate: float, seed: int) -> list[Key]:
     """Keys drawn with probability size * rate; the caller bounds the expected number."""
-    drawn = records.where(uniform("h", "d", F.lit(seed)) < F.col("size") * rate)
-    rows = drawn.select("h", "d").collect()
-    return (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    drawn = records.where(uniform("h", "d", "c", F.lit(seed)) < F.col("size") * rate)
+    return [tuple(r) for r in drawn.select("h", "d", "c").collect()]
 
 
-def split(records: DataFrame, n_ranges: int) -> tuple[DataFrame, dict[int, int]]:
-    """``records`` (h, d, size) with their ``range``, and the size of each range.
+def _past_groups(records: DataFrame, keys: set[Key], uncut: float) -> Splitters:
+    """Bounds that move to the end of their group (equal ``h``) if it is no larger than ``uncut``."""
+    hashes = records.sparkSession.createDataFrame([(h,) for h in {k[0] for k in keys}], "h long")
+    sizes = records.join(F.broadcast(hashes), "h").groupBy("h").agg(F.sum("size").alias("s"))  # one row for each bound
+    small = {r["h"] for r in sizes.where(F.col("s") <= uncut).collect()}
+    return Splitters(sorted({(k[0], LAST, LAST) if k[0] in small else k for k in keys}))
 
-    The driver holds the sample and the sizes: numbers in proportion to ``n_ranges``.
+
+def split(records: DataFrame, n_ranges: int, uncut: float = 0.0) -> tuple[DataFrame, dict[int, int], Splitters]:
+    """``records`` (h, d, c, size) with their ``range``, the size of each range, and the bounds.
+
+    Groups of equal ``h`` up to a size of ``uncut`` stay in one range. Rows with one key are
+    drawn together, so ``c`` should tell equal records apart. The driver holds the sample,
+    the bounds and the sizes: numbers in proportion to ``n_ranges``.
     """
     total = records.agg(F.sum("size")).first()[0] or 0
     if not total:
-        return records.withColumn("range", F.lit(0)), {}
+        return records.withColumn("range", F.lit(0)), {}, Splitters([])
     share = total / n_ranges
-    h, d = _sample(records, SAMPLE_PER_RANGE / share, 0)
-    bounds = _merge(Splitters(h[:0], d[:0]), *quantiles(h, d, n_ranges))
+    bounds = _past_groups(records, quantiles(_sample(records, SAMPLE_PER_RANGE / share, 0), n_ranges), uncut)
     seed = 0
     while True:
-        ranged = _ranged(records, bounds)
+        ranged = find_ranges(records, bounds)
         sizes = {r["range"]: r["s"] for r in ranged.groupBy("range").agg(F.sum("size").alias("s")).collect()}
         full = [r for r, s in sizes.items() if s > OVERFULL * share]
         if not full:
-            return ranged, sizes
+            return ranged, sizes, bounds
         seed += 1
-        h, d = _sample(ranged.where(F.col("range").isin(full)), SAMPLE_PER_RANGE / share, seed)
-        cut, inside = bounds, bounds.find(h, d)
-        for r in full:
-            own = inside == r
-            cut = _merge(cut, *quantiles(h[own], d[own], int(2 * sizes[r] / share) + 1))
-        if len(cut.h) == len(bounds.h):  # single records larger than a range
-            return ranged, sizes
+        drawn = _sample(ranged.where(F.col("range").isin(full)), SAMPLE_PER_RANGE / share, seed)
+        own = {r: [] for r in full}
+        for key, r in zip(drawn, bounds.find(*np.array(drawn, np.int64).reshape(-1, 3).T).tolist()):
+            own[r].append(key)
+        cuts = set().union(*(quantiles(own[r], int(2 * sizes[r] / share) + 1) for r in full))
+        cut = Splitters(sorted({*bounds.keys, *_past_groups(records, cuts, uncut).keys}))
+        if len(cut.keys) == len(bounds.keys):  # what is left cannot be cut
+            return ranged, sizes, bounds
         bounds = cut
 
 
@@ -110,8 +123,8 @@ def shard(documents: DataFrame, n_shards: int) -> DataFrame:
     Size is the text's UTF-8 bytes plus 1. Shards differ in bytes by no more than a
     document and the groups kept whole at their two ends. ``slot`` numbers a shard's
     records from 0 without gaps. A null text counts as empty in size and crc and groups
-    with nulls; a null doc_id sorts first in its group; repeated rows are separate records;
-    no rows give no rows. Extra columns are ignored.
+    with nulls; a null doc_id sorts first in its group; repeated rows are separate records and
+    are cut like others; a text longer than a range is a range of its own; no rows give no rows. Extra columns are ignored.
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -122,17 +135,20 @@ def shard(documents: DataFrame, n_shards: int) -> DataFrame:
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64("text").alias("h"),
             F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"),
+            F.monotonically_increasing_id().alias("c"),
         ),
         "sized",
     )
-    ranged, sizes = split(records, max(RANGES_PER_SHARD * n_shards, 4 * partitions(spark)))
-    total, before, starts = sum(sizes.values()), 0, []
+    total = records.agg(F.sum("size")).first()[0] or 0
+    ranges = max(RANGES_PER_SHARD * n_shards, 4 * partitions(spark))
+    ranged, sizes, _ = split(records, ranges, GROUP_SHARE * total / n_shards)
+    before, starts = 0, []
     for r in sorted(sizes):
         starts.append((r, before))
         before += sizes[r]
     offsets = spark.createDataFrame(starts, "range int, range_start long")
 
-    in_order = Window.partitionBy("range").orderBy("h", "d", "size")
+    in_order = Window.partitionBy("range").orderBy("h", "d", "c")
     group = Window.partitionBy("range", "h")
     placed = (
         ranged.join(F.broadcast(offsets), "range")  # one row for each range
