@@ -1,7 +1,7 @@
 """MinHash fingerprints, and near-duplicate pairs by signature bands.
 
 A text's shingles are runs of five words. Each shingle is one 64-bit number; each of 128
-universal hash functions (odd multiplier, shift, offset: ``a * x + b`` modulo 2^64, high bits)
+universal hash functions (odd multiplier and offset: ``a * x + b`` modulo 2^64)
 gives the signature its minimum. The share of equal places in two signatures estimates the
 Jaccard likeness of the two sets of shingles.
 """
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from adloom.llm.common import partitions, rows_of
 from adloom.llm.components import components
-from adloom.workspace import materialize
+from adloom.llm.shards import OVERFULL, find_ranges, split
+from adloom.workspace import materialize, release
 
 SHINGLE = 5
 PERMUTATIONS = 128
@@ -32,6 +33,8 @@ BLOCK_RUNS = 1 << 18
 #: Word hashes that a task remembers; the memory is emptied when it is full.
 REMEMBERED = 300_000
 LONGEST_KEPT = 64
+#: Results of equal rows that one row of a task makes.
+COPIES = 4096
 _BLOCK = 256  # shingles that are permuted at once, so that they stay in the cache
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -81,7 +84,7 @@ class MinHash:
             table = np.multiply.outer(block, self.a)  # unsigned numbers wrap at 2^64
             table += self.b
             np.minimum(least, table.min(axis=0), out=least)
-        # 16 of the high bits below the first ones: the first are zero in most minima.
+        # Bits 16 to 31: the highest ones are zero in most minima.
         return (least >> np.uint64(16)).astype(np.uint16)
 
 
@@ -93,34 +96,45 @@ def _hex(signature: np.ndarray) -> str:
     return signature.astype(">u2").tobytes().hex()
 
 
-def _neighbours(documents: DataFrame, n_ranges: int) -> DataFrame:
+def _neighbours(documents: DataFrame, n_ranges: int) -> tuple[DataFrame, DataFrame | None]:
     """Documents in ``range``s of descending doc_id, each range ended by its successor's first.
 
-    A row that is ``head`` is there only to be seen by the row before it. Bounds and heads
-    come from the ids alone; the driver holds one id per range. Texts are read where they
-    lie and shuffled once.
+    Within an id the hash of the text decides, so rows that share an id spread as well. A row
+    that is ``head`` is there only to be seen by the row before it. A group of equal rows
+    larger than a range is one row here; its other copies, each followed by an equal row,
+    come apart as (doc_id, text, copies). The driver holds one key per range.
     """
-    at = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    ids = documents.select(at.alias("at"))
-    bounds = ids.agg(F.percentile_approx("at", [i / n_ranges for i in range(1, n_ranges)], 10 * n_ranges)).first()[0] or []
-    bounds = sorted({b for b in bounds}, reverse=True)
-    find = np.array(bounds[::-1], np.int64)
-
-    @F.pandas_udf("int")
-    def range_of(values: pd.Series) -> pd.Series:  # range 0 has the largest ids
-        return pd.Series((len(find) - np.searchsorted(find, values.to_numpy(np.int64), "left")).astype(np.int32))
-
-    ranged = documents.select("doc_id", "text", at.alias("at"), F.xxhash64("text").alias("h")).withColumn("range", range_of("at"))
-    firsts = ids.withColumn("range", range_of("at")).groupBy("range").agg(F.max("at").alias("at")).collect()
-    firsts = sorted((r["range"], r["at"]) for r in firsts)
-    before = dict(zip([a for _, a in firsts], [r for r, _ in firsts[-1:] + firsts[:-1]]))
-    spark = documents.sparkSession
-    firsts = spark.createDataFrame([(a, r) for a, r in before.items()], "first long, goal int")
-    # Of rows that share a first id the one with the smallest hash is the head.
-    heads = ranged.join(F.broadcast(firsts), F.col("at") == F.col("first"))  # one row for each range
-    heads = heads.groupBy("at", "goal").agg(F.min_by(F.struct("doc_id", "text"), "h").alias("row"), F.min("h").alias("h"))
-    heads = heads.select("row.doc_id", "row.text", "at", "h", F.col("goal").alias("range"), F.lit(True).alias("head"))
-    return ranged.withColumn("head", F.lit(False)).unionByName(heads)
+    # ~ turns the order of ids around; nulls come last.
+    h = F.bitwise_not(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
+    keyed = documents.select("doc_id", "text", h.alias("h"), F.xxhash64("text").alias("d"), F.lit(0).cast("long").alias("c"))
+    keys = materialize(keyed.select("h", "d", "c", (F.octet_length("text") + 1).cast("long").alias("size")), "keys")
+    ranged, sizes, bounds = split(keys, n_ranges)
+    spark, share = documents.sparkSession, sum(sizes.values()) / n_ranges
+    full = [r for r, s in sizes.items() if s > OVERFULL * share]
+    equal = ranged.where(F.col("range").isin(full)).groupBy("h", "d").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
+    # Fewer groups than ranges are larger than one.
+    large = equal.where((F.col("s") > share) & (F.col("n") > 1)).select("h", "d", "n").collect() if full else []
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("h", "d")).alias("k")).collect()
+    release(keys)
+    firsts = sorted((r["range"], r["k"]["h"], r["k"]["d"]) for r in firsts)
+    goals = [r for r, *_ in firsts[-1:] + firsts[:-1]]
+
+    def picked(table: DataFrame, *more: str) -> DataFrame:  # the one text that belongs to a key
+        found = keyed.join(F.broadcast(table), ["h", "d"])
+        return found.groupBy("h", "d", *more).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+
+    goal = spark.createDataFrame([(a, b, r) for (_, a, b), r in zip(firsts, goals)], "h long, d long, goal int")
+    heads = picked(goal, "goal").select("doc_id", "text", "h", "d", F.col("goal").alias("range"), F.lit(True).alias("head"))
+    copies = None
+    if large:
+        groups = spark.createDataFrame([tuple(r) for r in large], "h long, d long, n long")
+        single = picked(groups, "n")
+        copies = single.select("doc_id", "text", (F.col("n") - 1).alias("copies"))
+        keyed = keyed.join(F.broadcast(groups), ["h", "d"], "left_anti").unionByName(
+            single.select("doc_id", "text", "h", "d", F.lit(0).cast("long").alias("c"))
+        )
+    rows = find_ranges(keyed, bounds).select("doc_id", "text", "h", "d", "range", F.lit(False).alias("head"))
+    return rows.unionByName(heads), copies
 
 
 def edited_fingerprints(documents: DataFrame, shingle: int = SHINGLE, permutations: int = PERMUTATIONS) -> DataFrame:
@@ -130,17 +144,32 @@ def edited_fingerprints(documents: DataFrame, shingle: int = SHINGLE, permutatio
     the next document in descending order of doc_id; the first document follows the last.
     Null texts count as empty. Among equal ids the hash of the text decides the order; null
     ids come last; a single document follows itself. Empty texts have likeness 1 to each
-    other. Extra columns are ignored.
+    other. Repeated rows give repeated results; no rows give none. A very long text is hashed
+    whole, in one task. Extra columns are ignored.
     """
     spark = documents.sparkSession
     n = partitions(spark)
     own = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = _neighbours(own, n)
+    rows, copies = _neighbours(own, n)
     schema = (
         "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
         " near_edited double, near_next double"
     )
 
+    def result(doc_id, text: str, signature: np.ndarray, next_: str, next_signature: np.ndarray, hasher: MinHash) -> tuple:
+        half = len(text) // 2
+        edited = text[: len(text) - half] + next_[:half]
+        other = signature if edited == text else hasher.signature(edited)
+        return (
+            doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), _hex(signature), _hex(other),
+            likeness(signature, other), likeness(signature, next_signature),
+        )
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
+        frame["doc_id"] = frame["doc_id"].astype("Int64")
+        return frame
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = MinHash(shingle, permutations)
         last = None  # range, doc_id, text, signature of the row before
@@ -149,21 +178,27 @@ def edited_fingerprints(documents: DataFrame, shingle: int = SHINGLE, permutatio
             for range_, doc_id, text, head in zip(batch["range"], batch["doc_id"], batch["text"], batch["head"]):
                 signature = last[3] if last and last[2] == text else hasher.signature(text)
                 if last and last[0] == range_:
-                    _, id_, own_text, own_signature = last
-                    half = len(own_text) // 2
-                    edited = own_text[: len(own_text) - half] + text[:half]
-                    other = hasher.signature(edited)
-                    out.append((
-                        id_, len(own_text), hashlib.sha256(edited.encode()).hexdigest(), _hex(own_signature), _hex(other),
-                        likeness(own_signature, other), likeness(own_signature, signature),
-                    ))
+                    out.append(result(*last[1:], text, signature, hasher))
                 last = None if head else (range_, None if pd.isna(doc_id) else int(doc_id), text, signature)
-            frame = pd.DataFrame(out, columns=[f.split()[0] for f in schema.split(", ")])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+            yield table(out)
 
-    order = ["range", "head", F.desc("at"), "h"]
-    return rows.repartitionById(n, F.col("range") % n).sortWithinPartitions(*order).mapInPandas(run, schema)
+    def repeat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = MinHash(shingle, permutations)
+        for batch in batches:
+            for doc_id, text, times in zip(batch["doc_id"], batch["text"], batch["times"]):
+                signature = hasher.signature(text)
+                row = result(None if pd.isna(doc_id) else int(doc_id), text, signature, text, signature, hasher)
+                yield table([row] * times)
+
+    order = ["range", "head", "h", "d"]
+    found = rows.repartitionById(n, F.col("range") % n).sortWithinPartitions(*order).mapInPandas(run, schema)
+    if copies is None:
+        return found
+    slices = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / COPIES)))
+    sliced = copies.withColumn("slice", slices).select(
+        "doc_id", "text", F.least(F.lit(COPIES), F.col("copies") - F.col("slice") * COPIES).cast("int").alias("times")
+    )
+    return found.unionByName(sliced.repartition(n).mapInPandas(repeat, schema))
 
 
 def _jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
