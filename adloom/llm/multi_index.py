@@ -83,17 +83,19 @@ def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, wanted:
     return open_
 
 
-def best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query the k nearest of a block, exact distances, ties to the smaller id."""
+def best(
+    queries: np.ndarray, query_rows: np.ndarray, vectors: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per query the k nearest other rows of a block, exact distances, ties to the smaller id."""
     squares = (vectors**2).sum(1)
     for n, q in enumerate(queries):
         rough = squares - 2 * (vectors @ q) + q @ q
-        rough[own == ids[n]] = np.inf
+        rough[rows == query_rows[n]] = np.inf
         kth = np.partition(rough, k - 1)[k - 1] if len(rough) > k else np.inf
         slack = 1e-9 * (q @ q + squares.max(initial=0))  # far above the rounding of the products
         near = np.flatnonzero((rough <= kth + slack) & np.isfinite(rough))
         exact = np.sqrt(((vectors[near] - q) ** 2).sum(1))
-        order = np.lexsort((own[near], exact))[:k]
+        order = np.lexsort((ids[near], exact))[:k]
         yield n, near[order], exact[order]
 
 
@@ -102,26 +104,28 @@ def search(
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k nearest found of each query.
 
-    Queries are the rows whose vec_id is divisible by ``every``; candidates are all rows
-    with another vec_id. Rows without an id, and vectors that are null, zero or hold a null
-    or non-finite component take no part, nor do vectors whose length is not the most
-    frequent one. Of rows that share an id the one with the smallest hash counts. A query
-    with fewer than k candidates gets all of them; no usable rows give no result.
+    Queries are the rows whose vec_id is divisible by ``every``; candidates are all other
+    rows, those that repeat the query's vec_id too: each row is told apart by a number of its
+    own. Rows without an id, and vectors that are null, zero or hold a null or non-finite
+    component take no part. Vectors of each length have an index of their own and are compared
+    among themselves. A query with fewer than k candidates gets all of them; no usable rows
+    give no result; extra columns are ignored.
     """
     spark = embeddings.sparkSession
     v = F.col("embedding").cast("array<double>")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & usable(F.col("v"))
     )
-    rows = rows.groupBy("vec_id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-    rows = materialize(rows, "vectors")
-    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    dim, total = sizes["dim"], sizes["count"]
-    rows = rows.where(F.size("v") == dim)
-    drawn = rows.where(uniform("vec_id") < SAMPLE / total).orderBy("vec_id").limit(2 * SAMPLE).select("v").collect()
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in rows.groupBy(F.size("v").alias("dim")).count().collect():  # one row for each length
+        found = found.unionByName(_search(rows.where(F.size("v") == r["dim"]), r["dim"], r["count"], every, k, share, n_centroids))
+    return found
+
+
+def _search(rows: DataFrame, dim: int, total: int, every: int, k: int, share: float, n_centroids: int) -> DataFrame:
+    """:func:`search` over ``rows`` (vec_id, v, row), vectors of one length."""
+    drawn = rows.where(uniform("row") < SAMPLE / total).orderBy("row").limit(2 * SAMPLE).select("v").collect()
     drawn = drawn or rows.select("v").limit(1).collect()
     sample, cut = np.array([r["v"] for r in drawn]), dim // 2
     books = centroids(sample[:, :cut], n_centroids), centroids(sample[:, cut:], n_centroids)
@@ -147,9 +151,11 @@ def search(
             cells = [traverse(a, b, held, wanted) for a, b in zip(first, second)]
             yield batch.assign(cells=cells)
 
-    queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    visits = queries.mapInPandas(open_cells, "vec_id long, v array<double>, cells array<int>")
-    visits = materialize(visits, "visits").select(F.col("vec_id").alias("q"), "v", F.explode("cells").alias("cell"))
+    queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "row", "v")
+    visits = queries.mapInPandas(open_cells, "vec_id long, row long, v array<double>, cells array<int>")
+    visits = materialize(visits, "visits").select(
+        F.col("row").alias("q"), F.col("vec_id").alias("query_id"), "v", F.explode("cells").alias("cell")
+    )
     load = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("q_blocks"))
     filled = index.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / VECTORS).cast("int").alias("v_blocks"))
     blocks = F.broadcast(load.join(filled, "cell"))  # one row per cell at most
@@ -158,20 +164,21 @@ def search(
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
     left = visits.join(blocks, "cell").withColumn("qb", F.pmod(F.xxhash64("q"), F.col("q_blocks"))).withColumn("vb", spread("v_blocks"))
-    right = index.join(blocks, "cell").withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("v_blocks"))).withColumn("qb", spread("q_blocks"))
+    right = index.join(blocks, "cell").withColumn("vb", F.pmod(F.xxhash64("row"), F.col("v_blocks"))).withColumn("qb", spread("q_blocks"))
     block = ["cell", "qb", "vb"]
 
     def rerank(near: pd.DataFrame, far: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(near) and len(far):
-            ids, own, x = near["q"].to_numpy(), far["vec_id"].to_numpy(), np.stack(far["v"].to_list())
-            for n, found, score in best(np.stack(near["v"].to_list()), ids, x, own, k):
-                out.append(pd.DataFrame({"query_id": ids[n], "vec_id": own[found], "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    left = left.select(*[F.col(c).cast("int").alias(c) for c in block], "q", "v")
-    right = right.select(*[F.col(c).cast("int").alias(c) for c in block], "vec_id", "v")
-    found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    nearest_first = Window.partitionBy("query_id").orderBy("score", "vec_id")
+            own, row, x = far["vec_id"].to_numpy(), far["row"].to_numpy(), np.stack(far["v"].to_list())
+            q, ids = near["q"].to_numpy(), near["query_id"].to_numpy()
+            for n, found, score in best(np.stack(near["v"].to_list()), q, x, row, own, k):
+                out.append(pd.DataFrame({"q": q[n], "query_id": ids[n], "vec_id": own[found], "score": score}))
+        return pd.concat(out) if out else pd.DataFrame({"q": [], "query_id": [], "vec_id": [], "score": []})
+
+    left = left.select(*[F.col(c).cast("int").alias(c) for c in block], "q", "query_id", "v")
+    right = right.select(*[F.col(c).cast("int").alias(c) for c in block], "vec_id", "row", "v")
+    found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(rerank, "q long, query_id long, vec_id long, score double")
+    nearest_first = Window.partitionBy("q").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -56,6 +56,29 @@ def test_overfull_groups_are_cut(spark):
     assert len(sizes) == 8 and max(sizes) < 1.08 * min(sizes)
 
 
+def test_a_group_of_equal_rows_is_cut(spark, monkeypatch):
+    drawn = []
+    sample = shards._sample
+    monkeypatch.setattr(shards, "_sample", lambda *a: drawn.append(sample(*a)) or drawn[-1])
+    rows = spark.range(9000).selectExpr(
+        "if(id % 3 = 0, null, id) AS doc_id", "if(id % 3 = 0, 'the hot text', concat('t', lpad(id, 11, '0'))) AS text", "'x' AS h", "1 AS c"
+    )
+    got = shards.shard(rows, 8).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(got) == 9000 and len(sizes) == 8 and sizes.max() <= 1.06 * sizes.min()
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+    assert max(map(len, drawn)) < 2 * shards.SAMPLE_PER_RANGE * 128  # 128 ranges; the hot group has 3000 rows
+    keys = rows.selectExpr("xxhash64(text) AS h", "coalesce(doc_id, 0) AS d", "monotonically_increasing_id() AS c", "1L AS size")
+    _, ranges, _ = shards.split(keys, 128)
+    assert sum(ranges.values()) == 9000 and max(ranges.values()) <= shards.OVERFULL * 9000 / 128
+
+
+def test_small_groups_share_a_shard(spark):
+    rows = spark.range(8000).selectExpr("id AS doc_id", "concat('text ', id % 500) AS text")  # 16 rows a text, 0.2 % of the bytes
+    got = shards.shard(rows, 8).toPandas()
+    assert (got.groupby("text_crc32").shard.nunique() == 1).all() and got.shard.nunique() == 8
+
+
 def test_mix_meets_targets(spark, docs, none):
     got = mixing.mix_copies(docs).collect()
     assert len(got) == len(ROWS) and mixing.mix_copies(none).count() == 0
@@ -87,6 +110,14 @@ def test_search_is_near_brute_force(spark):
         assert [r[0] for r in own] == list(range(1, 11)) and all(s == pytest.approx(d[v], abs=1e-12) for _, v, s in own)
         hits += len({v for _, v, _ in own} & set(want.tolist()))
     assert hits >= 0.9 * 150
+    same = [(5000, [9.0, 9.0 + i / 8]) for i in range(3)] + [(5001, [9.0, 9.0]), (5100, [9.0, 9.0])]
+    both = rows.unionByName(spark.createDataFrame(same, rows.schema)).selectExpr("*", "1 AS row", "2 AS cell")
+    short = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in multi_index.search(both).collect() if r["query_id"] >= 5000)
+    want = []
+    for n, (q, v) in enumerate(same):
+        others = sorted((float(np.hypot(v[0] - x[0], v[1] - x[1])), i) for m, (i, x) in enumerate(same) if m != n)
+        want += [(q, rank, i, d) for rank, (d, i) in enumerate(others, 1) if q % 100 == 0]
+    assert short == sorted(want)
     assert multi_index.search(rows.where("false")).count() == 0
     assert multi_index.search(rows.where("vec_id in (100, 101)")).collect()[0]["vec_id"] == 101
 
@@ -160,17 +191,60 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
-def test_minhash_of_edited_texts(docs, none):
-    ids = [r for r in ROWS if r[0] is not None]
-    unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    got = {r["doc_id"]: r for r in minhash.edited_fingerprints(unique).collect()}
-    order = sorted({r[0]: r[1] or "" for r in ids}.items(), reverse=True)
-    for (i, text), (_, next_) in zip(order, order[1:] + order[:1]):
+def plain_signature(text, hasher):
+    """Minima of ``a * x + b`` in whole numbers, over runs that are spelled out."""
+    words = [xxhash.xxh64_intdigest(w) for w in text.encode().split()]
+    k, runs = min(5, len(words)), set()
+    for i in range(len(words) - k + 1 if words else 0):
+        run = words[i]
+        for word in words[i + 1 : i + k]:
+            run = ((run ^ run >> 29) * 0x9E3779B97F4A7C15 + word) % 2**64
+        runs.add(run ^ run >> 32)
+    least = [min(((int(a) * x + int(b)) % 2**64 for x in runs), default=2**64 - 1) for a, b in zip(hasher.a, hasher.b)]
+    return [m >> 16 & 0xFFFF for m in least]
+
+
+def plain_edited(rows):
+    """All columns of the result for rows (doc_id, text), by the definition."""
+    from adloom.llm.minhash import MinHash
+
+    hasher, out = MinHash(), []
+    signed = [xxhash.xxh64_intdigest(t.encode(), 42) for _, t in rows]  # Spark's xxhash64 of a text
+    signed = [h - 2**64 if h >= 2**63 else h for h in signed]
+    order = sorted(range(len(rows)), key=lambda n: (rows[n][0] is None, -(rows[n][0] or 0), signed[n]))
+    prints = {}
+    for n, m in zip(order, order[1:] + order[:1]):
+        (i, text), next_ = rows[n], rows[m][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + next_[:half]
-        assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-    assert got[0]["fingerprint"] == got[1]["fingerprint"] and got[11]["fingerprint"] == got[13]["fingerprint"]
-    assert minhash.edited_fingerprints(none).count() == 0 and minhash.edited_fingerprints(docs).count() == len(ROWS)
+        a, b, c = (prints.setdefault(t, plain_signature(t, hasher)) for t in (text, edited, next_))
+        out.append((
+            str(i), len(text), hashlib.sha256(edited.encode()).hexdigest(), "".join(f"{x:04x}" for x in a), "".join(f"{x:04x}" for x in b),
+            sum(x == y for x, y in zip(a, b)) / 128, sum(x == y for x, y in zip(a, c)) / 128,
+        ))
+    return sorted(out)
+
+
+def shown(frame):
+    return sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in frame.collect())
+
+
+def test_minhash_of_edited_texts(docs, none):
+    got = minhash.edited_fingerprints(docs)
+    assert shown(got) == plain_edited([(r[0], r[1] or "") for r in ROWS])
+    by_id = {r["doc_id"]: r for r in got.collect()}
+    assert by_id[0]["fingerprint"] == by_id[1]["fingerprint"] and minhash.edited_fingerprints(none).count() == 0
+    assert minhash.edited_fingerprints(docs.where("doc_id = 4")).first()["near_next"] == 1
+
+
+@pytest.mark.parametrize("hot", ["concat('no id but a text ', id)", "'one text of all rows without an id'"])
+def test_rows_with_one_id_spread(spark, monkeypatch, hot):
+    monkeypatch.setattr(minhash, "COPIES", 100)
+    rows = spark.range(1500).selectExpr("if(id % 3 = 0, null, id) AS doc_id", f"if(id % 3 = 0, {hot}, concat('an own text ', id % 700, ' here')) AS text")
+    parts, copies = minhash._neighbours(rows, 8)
+    sizes = [r["count"] for r in parts.groupBy("range").count().collect()]
+    assert max(sizes) <= 2.2 * 1500 / 8 and (copies is None) == hot.startswith("concat")
+    assert shown(minhash.edited_fingerprints(rows)) == plain_edited([tuple(r) for r in rows.collect()])
 
 
 def test_minhash_classes(docs):
