@@ -89,7 +89,7 @@ def event_preds(spark: SparkSession, d: str) -> DataFrame:
 
 def event_fm(spark: SparkSession, d: str) -> DataFrame:
     weights = event_weights(spark, d)
-    start = fm.init_model(weights, FM_K, FM_SCALE)
+    start = fm.init_model(weights, FM_K, FM_SCALE, arithmetic=True)
     return materialize(start.drop("w").join(weights, "sign").select("sign", "w", "v"), "fm")
 
 
@@ -643,7 +643,7 @@ def train_fm(spark, d):
     train, held_out = split_tokens(spark, d)
     fit = fm.train_fm(
         train, held_out, kept_signs(spark, d),
-        k=FM_K, rate=RATE, max_iter=2, init_scale=FM_SCALE,
+        k=FM_K, rate=RATE, max_iter=2, init_scale=FM_SCALE, arithmetic=True,
     )
     return factor_rows(fit.weights, "v", "sign", "w").select(
         "sign", "k", r("w", 5).alias("w"), r("value", 5).alias("v")

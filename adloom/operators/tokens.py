@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adloom.functions.columns import sample_bucket
 from adloom.operators.lookup import lookup_join
-from adloom.operators.ranking import dense_index
+from adloom.operators.ranking import row_index
 
 _ROW_BITS = 33
 
@@ -113,8 +113,11 @@ def shuffle_instances(
 
 
 def assign_batches(instances: DataFrame, size: int) -> DataFrame:
-    """Consecutive fixed-size batches in ``instance_id`` order; the last one is short."""
-    index = dense_index(instances, "instance_id", "at")
+    """Consecutive fixed-size batches in ``instance_id`` order; the last one is short.
+
+    Rows that share an id, or have none, are rows of their own.
+    """
+    index = row_index(instances, "instance_id", "at")
     return index.select(
         "instance_id", F.floor(F.col("at") / size).alias("batch")
     )

@@ -15,7 +15,7 @@ from adloom.plans.training import (
     lay_out,
     stalled,
 )
-from adloom.workspace import materialize
+from adloom.workspace import materialize, release, scratch
 
 # The replaced jobs' settings.
 LEARNING_RATE = 0.5
@@ -89,33 +89,43 @@ def train_lr_gd(
 ) -> Fit:
     """Iterate ``gd_step`` over rotating samples, evaluating after each step.
 
-    ``train`` and ``evaluation`` are token frames. Weights are written every iteration;
-    ``on_iteration(i, weights)`` may save them elsewhere.
+    ``train`` and ``evaluation`` are token frames. Weights are written every iteration, and
+    those before them deleted unless ``on_iteration(i, weights)`` has been given them.
     """
-    layout, held_out = lay_out(train, rate), lay_out(evaluation).all()
+    spark = train.sparkSession
+    layout, laid = lay_out(train, rate), lay_out(evaluation)
+    held_out = laid.all()
     expected = layout.all().n_instances * rate
-    weights = no_weights(layout.tokens)
+    weights, written = no_weights(layout.tokens), False
     rows: list[tuple] = []
     for i in range(max_iter):
         part = layout.sample(i)
         if part.n_instances:
-            stepped = gd_step(
-                part.tokens,
-                weights,
-                part.n_instances,
-                learning_rate,
-                theta,
-                mode,
-                expected,
-                compat,
-                part.hot,
-            )
-            weights = materialize(stepped, f"weights-{i}")
-        preds = score_linear(held_out.tokens, weights, hot=held_out.hot)
-        result = evaluate(preds, resolution).first()
+            with scratch(spark):
+                stepped = gd_step(
+                    part.tokens,
+                    weights,
+                    part.n_instances,
+                    learning_rate,
+                    theta,
+                    mode,
+                    expected,
+                    compat,
+                    part.hot,
+                )
+                stepped = materialize(stepped, f"weights-{i}", lasting=True)
+            if written and not on_iteration:
+                release(weights)
+            weights, written = stepped, True
+        with scratch(spark):
+            preds = score_linear(held_out.tokens, weights, hot=held_out.hot)
+            result = evaluate(preds, resolution).first()
         rows.append((i, part.n_instances, result["auc"], result["mae"], result["loss"]))
         if on_iteration:
             on_iteration(i, weights)
         if stalled([r[4] for r in rows], tol):
             break
-    return Fit(weights, history_frame(train.sparkSession, rows))
+    if written:  # unwritten weights read the laid-out tokens
+        layout.release()
+    laid.release()
+    return Fit(weights, history_frame(spark, rows))

@@ -12,7 +12,7 @@ from adloom.functions.columns import sample_bucket
 from adloom.operators.lookup import HotKeys, hot_share
 from adloom.operators.tokens import whole_parts
 from adloom.schema import HISTORY
-from adloom.workspace import materialize
+from adloom.workspace import materialize, release
 
 OnIteration = Callable[[int, DataFrame], None]
 
@@ -54,9 +54,14 @@ class TrainingTokens:
             hot = per_key.join(F.broadcast(totals), "bucket").where(
                 F.col("count") * hot_share(self.tokens) > F.col("total")
             )
-            self._hot[key] = materialize(hot.select("bucket", key), "hot")
+            self._hot[key] = materialize(hot.select("bucket", key), "hot", lasting=True)
         return self._hot[key]
 
+    def release(self) -> None:
+        """Delete the laid-out tables; nothing may read a part of them afterwards."""
+        for table in (self.tokens, *self._hot.values()):
+            release(table)
+
 
 def lay_out(tokens: DataFrame, rate: float = 1.0) -> TrainingTokens:
     """Write ``(instance_id, label, sign)`` by sample bucket.
@@ -70,7 +75,7 @@ def lay_out(tokens: DataFrame, rate: float = 1.0) -> TrainingTokens:
     )
     together = "bucket" if buckets > 1 else "instance_id"
     bucketed = bucketed.hint("rebalance", together).sortWithinPartitions("bucket", "instance_id")
-    written = materialize(bucketed, "tokens", ("bucket",))
+    written = materialize(bucketed, "tokens", ("bucket",), lasting=True)
     counts = (
         written.select("bucket", "instance_id").distinct().groupBy("bucket").count().collect()
     )

@@ -10,10 +10,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,18 +40,45 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(
-    df: DataFrame, name: str, partition_by: tuple[str, ...] = ()
+    df: DataFrame, name: str, partition_by: tuple[str, ...] = (), lasting: bool = False
 ) -> DataFrame:
-    """Write ``df`` once and return a frame that reads the written table."""
+    """Write ``df`` once and return a frame that reads the written table.
+
+    A ``lasting`` table stays when the ``scratch`` block that it is written in ends.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    written = _written.get()
+    if written is not None and not lasting:
+        written.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that are written inside the block, but for ``lasting`` ones, when it ends.
+
+    Results that leave the block must be rows, or tables written as ``lasting``.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(table: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and nothing will read again."""
-    context = table.sparkSession.sparkContext
     ours = shared_dir(table.sparkSession).rstrip("/").split(":", 1)[-1].lstrip("/") + "/adloom/"
     folders = set()
     for file in table.inputFiles():
@@ -56,5 +87,4 @@ def release(table: DataFrame) -> None:
             raise ValueError(f"{file} is in no written table of this engine")
         folders.add(before + found + inside.split("/")[0])  # a partitioned table goes with all its folders
     for folder in folders:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, folder)

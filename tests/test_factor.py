@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -5,7 +7,7 @@ import pytest
 from adloom.catalog.queries import event_fm, event_tokens
 from adloom.operators import factor, metrics
 from adloom.plans import fm
-from adloom.workspace import materialize
+from adloom.workspace import materialize, shared_dir
 
 K = 3
 
@@ -108,6 +110,24 @@ def test_vector_sums(spark):
     assert got == {"a": [4.0, 6.0], "b": []}
 
 
+def test_hashed_starts_do_not_collide(spark):
+    signs = spark.createDataFrame([(5,), (1000008,), (6,)], "sign long")
+    v = {r.sign: r.v for r in fm.init_model(signs, 4, 0.001).collect()}
+    assert all(0 <= x < 0.001 for row in v.values() for x in row) and len({x for row in v.values() for x in row}) == 12
+    wide = {int(r.sign): r.v for r in fm.init_model(signs.selectExpr("cast(sign AS decimal(20,0)) AS sign"), 4, 0.001).collect()}
+    assert wide == v
+    same = {r.sign: r.v for r in fm.init_model(signs, 4, 0.001, arithmetic=True).collect()}
+    assert same[5] == same[1000008]
+
+
+def test_fm_loop_keeps_its_last_model_alone(spark, toy):
+    t, frame = materialize(toy[0], "toy"), toy[3].select("sign")
+    folder = Path(shared_dir(spark)) / "adloom"
+    before = len(list(folder.iterdir()))
+    fit = fm.train_fm(t, t, frame, k=2, rate=1.0, max_iter=3)
+    assert len(list(folder.iterdir())) == before + 1 and fit.weights.count() == 4
+
+
 def test_random_start_is_in_range(spark, toy):
     start = fm.init_model(toy[3], 8, 0.001, seed=3).collect()
     assert all(0 <= x < 0.001 for r in start for x in r.v) and len({x for r in start for x in r.v}) > 20

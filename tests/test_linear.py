@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +11,7 @@ from adloom.operators.ranking import dense_index
 from adloom.plans import convex, gd
 from adloom.plans.training import stalled
 from adloom.sources.tables import event_instances
-from adloom.workspace import materialize
+from adloom.workspace import materialize, shared_dir
 
 
 def toks(spark, rows):
@@ -95,6 +97,25 @@ def test_gd_loop_lowers_loss_saves_and_stops(spark, small):
     assert losses == sorted(losses, reverse=True) and [i for i, _ in seen] == [0, 1, 2, 3]
 
 
+def written_tables(spark):
+    folder = Path(shared_dir(spark)) / "adloom"
+    return {p.name.rsplit("-", 1)[0] for p in folder.iterdir()}, len(list(folder.iterdir()))
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_gd_loop_keeps_its_last_weights_alone(spark, small, shuffled, request):
+    if shuffled:
+        request.getfixturevalue("no_broadcast")
+    t = materialize(tokens.explode_tokens(event_instances(spark, small)), "input")
+    before = written_tables(spark)[1]
+    fit = gd.train_lr_gd(t, t, rate=0.5, max_iter=3)
+    assert written_tables(spark)[1] == before + 1 and fit.weights.count() > 0
+    seen = []
+    gd.train_lr_gd(t, t, rate=0.5, max_iter=2, on_iteration=lambda i, w: seen.append(w))
+    assert written_tables(spark)[1] == before + 3 and all(w.count() for w in seen)
+    gd.train_lr_gd(t.where("false"), t, rate=1.0, max_iter=1).weights.count()
+
+
 def test_stopping_rule():
     assert not stalled([10, 9, 8, 7, 6, 5], 1e-4)
     assert stalled([5.0] * 6, 1e-4)
@@ -121,6 +142,16 @@ def test_filter_is_idempotent(spark, small):
     assert kept_signs(spark, small).count() <= keep.count()
 
 
+def test_batches_count_rows_that_share_an_id(spark):
+    rows = spark.range(1000).selectExpr("if(id % 3 = 0, 7, if(id % 50 = 1, null, id)) AS instance_id")
+    got = tokens.assign_batches(rows, 64).toPandas()
+    assert sorted(got.groupby("batch").size()) == [40] + [64] * 15
+    ids = sorted((r[0] for r in rows.collect()), key=lambda x: (x is not None, x))
+    want = [(x, n // 64) for n, x in enumerate(ids)]
+    key = lambda p: (p[0] is not None, *p) if p[0] is not None else (False, 0, p[1])
+    assert sorted(((r["instance_id"], r["batch"]) for r in tokens.assign_batches(rows, 64).collect()), key=key) == sorted(want, key=key)
+
+
 def test_batches(spark, small):
     inst = event_instances(spark, small)
     sizes = [r["count"] for r in tokens.assign_batches(inst, 300).groupBy("batch").count().orderBy("batch").collect()]
