@@ -571,7 +571,9 @@ FROM f_l, f_best WHERE m <= least(best + 1, 99)""",
     "train_fm": with_(*EV_SPLIT, *fm_training(2, 2))
     + "SELECT sign, k, round(w, 5) + 0.0 AS w, round(v, 5) + 0.0 AS v FROM m2",
     "train_dnn_step": net_step_sql(),
+    "train_dnn_sharded_step": net_step_sql(),
     "score_dnn": fixed_net_sql(),
+    "score_dnn_sharded": fixed_net_sql(),
     "evaluate": with_(*EV_SPLIT, *gd_steps("tr", 2, "aggregated", 1), preds("te", "w2", "pe")) + f"""
 SELECT round(auc, 6) + 0.0 AS auc, round(mae, 6) + 0.0 AS mae, round(loss, 6) + 0.0 AS loss, n, n_pos,
   n_neg FROM ({metrics('pe')})""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from adloom.functions.columns import binarize_label, log_loss_term, sigmoid_clamped, token_parts
 from adloom.operators import factor, linear, metrics, tokens, vocab
 from adloom.operators.ranking import dense_index
-from adloom.plans import convex, fm, gd, net
+from adloom.plans import convex, fm, gd, net, sharded_net
 from adloom.plans.training import lay_out
 from adloom.sinks import text as sinks
 from adloom.sources import text as sources
@@ -697,6 +697,25 @@ def train_dnn_step(spark, d):
     return frame.unionByName(whole).select("layer", "row", "k", r("v", 5).alias("v"))
 
 
+def train_dnn_sharded_step(spark, d):
+    """The same step by a net that is a table."""
+    encoded, slots = encoded_events(spark, d)
+    laid = sharded_net.lay_rows(vocab.index_rows(encoded, slots, event_instances(spark, d)))
+    start = fixed_net(slots)
+    start.params["b1"] += 0.0137
+    stepped, loss = sharded_net.train_step(laid, sharded_net.as_table(spark, start))
+    frame = stepped.params.select("layer", "row", F.posexplode("v").alias("k", "v"))
+    whole = spark.createDataFrame([("loss", 0, 0, float(loss))], "layer string, row int, k int, v double")
+    return frame.unionByName(whole).select("layer", "row", "k", r("v", 5).alias("v"))
+
+
+def score_dnn_sharded(spark, d):
+    encoded, slots = encoded_events(spark, d)
+    laid = sharded_net.lay_rows(vocab.index_rows(encoded, slots, event_instances(spark, d)))
+    scores = sharded_net.score(laid, sharded_net.as_table(spark, fixed_net(slots)))
+    return scores.select("instance_id", "label", r("p").alias("p"))
+
+
 def evaluate(spark, d):
     """Two full gradient steps on frequent features, then held-out AUC, MAE and loss."""
     train, held_out = split_tokens(spark, d)
@@ -780,7 +799,9 @@ QUERIES = {
     "train_dnn_embedding": train_dnn_embedding,
     "train_dnn_discrete": train_dnn_discrete,
     "train_dnn_step": train_dnn_step,
+    "train_dnn_sharded_step": train_dnn_sharded_step,
     "score_dnn": score_dnn,
+    "score_dnn_sharded": score_dnn_sharded,
     "evaluate": evaluate,
     "train_history": train_history,
 }
