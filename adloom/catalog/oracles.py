@@ -547,6 +547,8 @@ FROM (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)"""
     + "SELECT sign, round(w, 6) + 0.0 AS w FROM w2",
     "train_lr_gd": with_(*EV_SPLIT, *gd_steps("tr", 3, "aggregated", 2))
     + "SELECT sign, round(w, 6) + 0.0 AS w FROM w3",
+    "train_lr_gd_colocated": with_(*EV_SPLIT, *gd_steps("tr", 3, "aggregated", 2))
+    + "SELECT sign, round(w, 6) + 0.0 AS w FROM w3",
     "train_history": with_(
         *EV_SPLIT, *gd_steps("tr", 3, "aggregated", 2),
         *[preds("te", f"w{i + 1}", f"e{i}") for i in range(3)],

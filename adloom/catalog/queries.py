@@ -588,6 +588,11 @@ def train_lr_gd(spark, d):
     return _gd_fit(spark, d).weights.select("sign", r("w").alias("w"))
 
 
+def train_lr_gd_colocated(spark, d):
+    """The same fit over tokens bucketed by instance."""
+    return _gd_fit(spark, d, colocate=True).weights.select("sign", r("w").alias("w"))
+
+
 def train_history(spark, d):
     """The log of a run whose callback saves the weights after every iteration."""
     path = fresh_path(spark, "run")
@@ -791,6 +796,7 @@ QUERIES = {
     "gd_step_aggregated": gd_step_aggregated,
     "gd_step_compat": gd_step_compat,
     "train_lr_gd": train_lr_gd,
+    "train_lr_gd_colocated": train_lr_gd_colocated,
     "train_lr_l2": train_lr_l2,
     "train_lr_elastic": train_lr_elastic,
     "fm_gradient": fm_gradient,

@@ -8,7 +8,7 @@ tokens through a lookup.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adloom.functions.columns import LOSS_FLOOR, LR_BOUND, log_loss_term, sigmoid_clamped
@@ -65,6 +65,22 @@ def token_gradient(
     )
 
 
+def residual_tokens(
+    tokens: DataFrame, weights: DataFrame, once: bool = False, hot: HotKeys | None = None
+) -> DataFrame:
+    """``(instance_id, sign, r)``: each token with its instance's residual, without a join back.
+
+    Meant for tokens that lie together by instance: the window then needs no shuffle. ``once``
+    keeps one row per instance and sign; the score counts repeated tokens all the same.
+    """
+    whole = Window.partitionBy("instance_id")
+    p = sigmoid_clamped(F.sum("w").over(whole), LR_BOUND)
+    residual = (p - F.max("label").over(whole)).alias("r")
+    scored = attach_weights(tokens, weights, hot).select("instance_id", "sign", residual)
+    found = scored.where(F.col("sign").isNotNull())
+    return found.groupBy("instance_id", "sign").agg(F.max("r").alias("r")) if once else found
+
+
 def gradient_linear(
     tokens: DataFrame, weights: DataFrame, n_instances: int | None = None
 ) -> DataFrame:

@@ -66,14 +66,16 @@ def train_fm(
     resolution: int | None = None,
     on_iteration: OnIteration | None = None,
     arithmetic: bool = False,
+    draw: int | None = None,
 ) -> Fit:
     """Sampled gradient, step search over the whole train set, evaluation; repeated.
 
-    ``features`` holds the signs of the vocabulary; ``arithmetic`` is that of ``init_model``.
+    ``features`` holds the signs of the vocabulary; ``arithmetic`` is that of ``init_model``;
+    a seed ``draw`` draws every iteration's sample anew instead of rotating.
     Each model is written, and the one before it deleted unless ``on_iteration`` has been given it.
     """
     spark = train.sparkSession
-    layout, laid = lay_out(train, rate), lay_out(evaluation)
+    layout, laid = lay_out(train, rate, draw), lay_out(evaluation)
     whole, held_out = layout.all(), laid.all()
     model = materialize(init_model(features, k, init_scale, seed, arithmetic), "fm-start", lasting=True)
     rows: list[tuple] = []

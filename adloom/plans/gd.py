@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adloom.operators.lookup import HotKeys
-from adloom.operators.linear import score_linear, token_gradient
+from adloom.operators.linear import residual_tokens, score_linear, token_gradient
 from adloom.operators.metrics import evaluate
 from adloom.plans.training import (
     Fit,
@@ -39,6 +39,7 @@ def gd_step(
     n_expected: float | None = None,
     compat: bool = False,
     hot: HotKeys | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """Weights after one step over the sampled ``tokens``.
 
@@ -46,18 +47,22 @@ def gd_step(
     decays each touched weight once. ``per_instance`` counts a feature once per
     instance, divides by the expected count ``n_expected`` and decays a weight once
     per instance that holds it. ``compat`` grows weights instead of decaying them, as
-    the replaced jobs did.
+    the replaced jobs did. Over ``colocated`` tokens residuals are taken where the instance
+    lies, and the one shuffle is the sum by sign.
     """
-    preds = score_linear(tokens, weights, hot=hot)
     decay = -theta if compat else theta
-    if mode == "per_instance":
+    once = mode == "per_instance"
+    if colocated:
+        residuals = residual_tokens(tokens, weights, once, hot)
+        gradient = residuals.select("sign", F.col("r").alias("g"), F.lit(1).cast("bigint").alias("touched"))
+    else:
+        counted = tokens.select("instance_id", "sign").distinct() if once else tokens
+        gradient = token_gradient(counted, score_linear(tokens, weights, hot=hot), n_sampled, hot)
+    if once:
         n = float(n_expected if n_expected is not None else n_sampled)
-        once = tokens.select("instance_id", "sign").distinct()
-        gradient = token_gradient(once, preds, n_sampled, hot)
         pull = decay / n * F.col("touched") * F.col("w")
     else:
         n = float(n_sampled)
-        gradient = token_gradient(tokens, preds, n_sampled, hot)
         pull = F.when(F.col("touched") > 0, decay * F.col("w")).otherwise(0.0)
     # Old weights and gradient meet in one aggregation; either side may be missing.
     old = weights.select(
@@ -86,14 +91,17 @@ def train_lr_gd(
     tol: float | None = None,
     resolution: int | None = None,
     on_iteration: OnIteration | None = None,
+    draw: int | None = None,
+    colocate: bool = False,
 ) -> Fit:
     """Iterate ``gd_step`` over rotating samples, evaluating after each step.
 
-    ``train`` and ``evaluation`` are token frames. Weights are written every iteration, and
+    With a seed ``draw`` every iteration draws a sample of its own; ``colocate`` buckets the
+    training tokens by instance (see ``lay_out``). ``train`` and ``evaluation`` are token frames. Weights are written every iteration, and
     those before them deleted unless ``on_iteration(i, weights)`` has been given them.
     """
     spark = train.sparkSession
-    layout, laid = lay_out(train, rate), lay_out(evaluation)
+    layout, laid = lay_out(train, rate, draw, colocate), lay_out(evaluation)
     held_out = laid.all()
     expected = layout.all().n_instances * rate
     weights, written = no_weights(layout.tokens), False
@@ -112,6 +120,7 @@ def train_lr_gd(
                     expected,
                     compat,
                     part.hot,
+                    part.colocated,
                 )
                 stepped = materialize(stepped, f"weights-{i}", lasting=True)
             if written and not on_iteration:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +14,39 @@ from adloom.functions.columns import sample_bucket
 from adloom.operators.lookup import HotKeys, hot_share
 from adloom.operators.tokens import whole_parts
 from adloom.schema import HISTORY
-from adloom.workspace import materialize, release
+from adloom.workspace import drop_bucketed, materialize, materialize_bucketed, release
+
+# An instance below this many tokens is never hot, however small the table.
+LEAST_HOT = 10000
 
 OnIteration = Callable[[int, DataFrame], None]
 
 
 @dataclass
 class Part:
-    """Tokens to work on, how many instances they belong to, and their hot keys."""
+    """Tokens to work on, how many instances they belong to, and their hot keys.
+
+    ``colocated`` tokens lie together by instance: grouping on it needs no shuffle.
+    """
 
     tokens: DataFrame
     n_instances: int
     hot: HotKeys
+    colocated: bool = False
+
+
+@dataclass
+class Draw:
+    """A fresh draw of fine buckets in every iteration, a share ``rate`` of them on average."""
+
+    rate: float
+    buckets: int
+    seed: int
+
+    def of(self, iteration: int) -> list[int]:
+        rng = np.random.default_rng([self.seed, iteration])
+        n = int(self.rate * self.buckets + rng.random())  # rounds so that the mean share is the rate
+        return sorted(rng.choice(self.buckets, n, replace=False).tolist())
 
 
 @dataclass
@@ -32,18 +55,22 @@ class TrainingTokens:
     reads only its own share of the data."""
 
     tokens: DataFrame
-    sizes: dict[int, int]  # instances per bucket, one entry for each of 1/rate buckets
+    sizes: dict[int, int]  # instances per bucket
+    drawn: Draw | None = None  # None: iterations rotate through the buckets
+    table: str | None = None  # the catalog's name of a table bucketed by instance
     _hot: dict[str, DataFrame] = field(default_factory=dict)
 
     def all(self) -> Part:
         hot = lambda key: self._hot_table(key).select(key).distinct()
-        return Part(self.tokens.drop("bucket"), sum(self.sizes.values()), hot)
+        return Part(self.tokens.drop("bucket"), sum(self.sizes.values()), hot, self.table is not None)
 
     def sample(self, iteration: int) -> Part:
-        bucket = iteration % len(self.sizes)
-        in_bucket = F.col("bucket") == bucket
-        hot = lambda key: self._hot_table(key).where(in_bucket).select(key)
-        return Part(self.tokens.where(in_bucket).drop("bucket"), self.sizes[bucket], hot)
+        chosen = self.drawn.of(iteration) if self.drawn else [iteration % len(self.sizes)]
+        in_bucket = F.col("bucket").isin(chosen)
+        # A key that is hot in the part is hot in one of its buckets at least.
+        hot = lambda key: self._hot_table(key).where(in_bucket).select(key).distinct()
+        part = self.tokens.where(in_bucket).drop("bucket")
+        return Part(part, sum(self.sizes[b] for b in chosen), hot, self.table is not None)
 
     def _hot_table(self, key: str) -> DataFrame:
         """Keys that outgrow a shuffle partition of their bucket, found once when first
@@ -59,28 +86,58 @@ class TrainingTokens:
 
     def release(self) -> None:
         """Delete the laid-out tables; nothing may read a part of them afterwards."""
-        for table in (self.tokens, *self._hot.values()):
+        if self.table:
+            drop_bucketed(self.tokens, self.table)
+        for table in (*([] if self.table else [self.tokens]), *self._hot.values()):
             release(table)
 
 
-def lay_out(tokens: DataFrame, rate: float = 1.0) -> TrainingTokens:
+FINE_BUCKETS = 100  # least number of buckets to draw from
+
+
+def lay_out(
+    tokens: DataFrame, rate: float = 1.0, draw: int | None = None, colocate: bool = False
+) -> TrainingTokens:
     """Write ``(instance_id, label, sign)`` by sample bucket.
 
+    Iterations rotate through 1/``rate`` buckets, or, with a seed ``draw``, draw a share
+    ``rate`` of many fine buckets anew each time; the rate is then any number up to 1.
+
     The rebalance hint gathers what belongs together, so that scores combine before
-    their shuffle in every iteration, and splits whatever outgrows a task.
+    their shuffle in every iteration, and splits whatever outgrows a task. ``colocate``
+    fixes the place of an instance instead: the table is bucketed by it, and iterations need
+    no shuffle on it at all. Instances above a task's fair share would make a bucket hot, so where
+    there are any, the first layout is taken.
     """
-    buckets = whole_parts(rate)
-    bucketed = tokens.select("instance_id", "label", "sign").withColumn(
-        "bucket", sample_bucket(F.col("instance_id"), buckets)
-    )
-    together = "bucket" if buckets > 1 else "instance_id"
-    bucketed = bucketed.hint("rebalance", together).sortWithinPartitions("bucket", "instance_id")
-    written = materialize(bucketed, "tokens", ("bucket",), lasting=True)
+    if draw is None:
+        drawn, buckets = None, whole_parts(rate)
+        bucket = sample_bucket(F.col("instance_id"), buckets)
+    else:
+        if not 0 < rate <= 1:
+            raise ValueError(f"a rate lies above 0 and up to 1, not at {rate}")
+        buckets = max(FINE_BUCKETS, math.ceil(10 / rate))
+        drawn = Draw(rate, buckets, draw)
+        bucket = F.pmod(F.xxhash64("instance_id"), F.lit(buckets)).cast("int")
+    bucketed = tokens.select("instance_id", "label", "sign").withColumn("bucket", bucket)
+    table = None
+    if colocate and not _has_hot_instance(tokens):
+        n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        written, table = materialize_bucketed(bucketed, "tokens", "instance_id", n, ("bucket",))
+    else:
+        together = "bucket" if buckets > 1 else "instance_id"
+        bucketed = bucketed.hint("rebalance", together).sortWithinPartitions("bucket", "instance_id")
+        written = materialize(bucketed, "tokens", ("bucket",), lasting=True)
     counts = (
         written.select("bucket", "instance_id").distinct().groupBy("bucket").count().collect()
     )
     found = {r["bucket"]: r["count"] for r in counts}
-    return TrainingTokens(written, {b: found.get(b, 0) for b in range(buckets)})
+    return TrainingTokens(written, {b: found.get(b, 0) for b in range(buckets)}, drawn, table)
+
+
+def _has_hot_instance(tokens: DataFrame) -> bool:
+    per_instance = tokens.groupBy("instance_id").count()
+    found = per_instance.agg(F.max("count").alias("most"), F.sum("count").alias("total")).first()
+    return (found["most"] or 0) * hot_share(tokens) > max(found["total"] or 0, LEAST_HOT * hot_share(tokens))
 
 
 @dataclass

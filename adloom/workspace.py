@@ -55,6 +55,25 @@ def materialize(
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table bucketed and sorted by ``key``, and return it with its name.
+
+    Reads of it are laid out by ``key`` already: grouping or joining on it needs no shuffle.
+    The files lie in the shared folder; ``drop_bucketed`` removes them and the catalog's entry.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = f"adloom_{name}_{path[-32:]}".replace("-", "_")
+    writer = df.repartition(buckets, key).write.format("parquet").option("path", path)
+    writer.partitionBy(*partition_by).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+    return spark.table(table), table
+
+
+def drop_bucketed(table: DataFrame, name: str) -> None:
+    release(table)
+    table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that are written inside the block, but for ``lasting`` ones, when it ends.
