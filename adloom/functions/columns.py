@@ -69,8 +69,35 @@ def to_sign(text: Column) -> Column:
     )
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """``value`` with so many decimals, rounded as stored: by all its binary digits, halves to even.
+
+    Spark's own format rounds the shortest decimal that names a value. That may end in a five
+    where the value itself lies beside the half. Here the product with the power of ten is taken
+    apart into a rounded one and its error, without loss. What fills more than 62 bits, null and
+    non-finite values keep Spark's format.
+    """
+    split, scale = float(2**27 + 1), 10.0**digits
+    sh = split * scale - (split * scale - scale)
+    sl = scale - sh
+    x = F.abs(value)
+    xh = x * split - (x * split - x)
+    xl = x - xh
+    product = x * scale
+    error = xl * sl - (((product - xh * sh) - xl * sh) - xh * sl)
+    carried = F.when(product >= 2.0**52, F.floor(error)).otherwise(F.lit(0).cast("bigint"))
+    down = F.floor(product) + carried
+    beyond = (product - F.floor(product) - 0.5) + (error - carried)  # its sign is exact
+    up = (beyond > 0) | ((beyond == 0) & (down % 2 == 1))
+    text = (down + F.when(up, 1).otherwise(0)).cast("string")
+    padded = F.lpad(text, F.greatest(F.length(text), F.lit(digits + 1)), F.lit("0"))
+    sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
+    exact = F.concat(sign, F.regexp_replace(padded, f"([0-9]{{{digits}}})$", ".$1"))
+    return F.when(product < 2.0**62, exact).otherwise(F.format_string(f"%.{digits}f", value))
+
+
 def fixed6(value: Column) -> Column:
-    return F.format_string("%.6f", value)
+    return fixed(value, 6)
 
 
 def factor(v: Column, k: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.functions.columns import fixed6
+from adloom.functions.columns import fixed, fixed6
 
 _TAB = "\t"
 
@@ -56,7 +56,7 @@ def prediction_line() -> Column:
 
 def fm_weight_line() -> Column:
     """Factors keep 12 digits; the weight has the 6 of the linear format."""
-    factors = F.transform("v", lambda x: F.format_string("%.12f", x))
+    factors = F.transform("v", lambda x: fixed(x, 12))
     line = F.concat_ws(_TAB, _sign(), fixed6(F.col("w")))
     return F.when(F.size("v") > 0, F.concat_ws(_TAB, line, F.array_join(factors, _TAB))).otherwise(
         F.concat(line, F.lit(_TAB))

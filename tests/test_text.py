@@ -1,7 +1,9 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
+from adloom.functions.columns import fixed
 from adloom.operators.tokens import explode_tokens, filter_instances
 from adloom.sinks import text as sinks
 from adloom.sources import text as sources
@@ -155,3 +157,15 @@ def test_only_nonzero_weights_are_saved(spark, tmp_path):
     df = spark.createDataFrame([(1, 0.5), (2, 0.0)], "sign long, w double")
     sinks.write_weights(df, str(tmp_path / "w"), 0)
     assert [r.value for r in spark.read.text(str(tmp_path / "w" / "iter=0")).select("value").collect()] == ["1\t0.500000"]
+
+
+def test_decimals_round_the_value_and_not_its_shortest_name(spark):
+    values = [0.1234567890125, 0.0000000000005, 2.0**-13, 3 * 2.0**-13, -1e-9, -0.0, 0.0000005, 123456.7890125, 9e12, 5e12 + 0.5]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    got = rows.select("x", fixed(F.col("x"), 6).alias("six"), fixed(F.col("x"), 12).alias("twelve")).collect()
+    exact = [v for v in values if abs(v) < 1e6]
+    assert {(r["x"], r["six"]) for r in got} == {(v, f"{v:.6f}") for v in values}
+    assert {(r["x"], r["twelve"]) for r in got if abs(r["x"]) < 1e6} == {(v, f"{v:.12f}") for v in exact}
+    model = spark.createDataFrame([(7, 0.0, values[:4])], "sign long, w double, v array<double>")
+    line = model.select(sinks.fm_weight_line()).first()[0]
+    assert line == "\t".join(["7", "0.000000", *[f"{v:.12f}" for v in values[:4]]])
