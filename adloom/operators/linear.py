@@ -45,10 +45,11 @@ def token_gradient(
     preds: DataFrame,
     n_instances: int | None = None,
     hot: HotKeys | None = None,
+    colocated: bool = False,
 ) -> DataFrame:
     """``(sign, g, touched)``: summed residuals and occurrences per feature.
 
-    ``n_instances`` bounds the number of predictions.
+    ``n_instances`` bounds the number of predictions; ``colocated`` tokens stay where they are.
     """
     residuals = preds.select("instance_id", (F.col("p") - F.col("label")).alias("r"))
     return (
@@ -59,6 +60,7 @@ def token_gradient(
             "inner",
             right_rows=n_instances,
             hot=hot,
+            colocated=colocated,
         )
         .groupBy("sign")
         .agg(F.sum("r").alias("g"), F.count(F.lit(1)).alias("touched"))

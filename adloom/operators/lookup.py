@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adloom.workspace import materialize
 
-BROADCAST_BYTES = 256 * 1024 * 1024
+# The driver holds every broadcast several times over, and loops send one per step.
+BROADCAST_BYTES = 16 * 1024 * 1024
 LEAST_SHARE = 1024
+# Narrow rows that one task sorts or groups; more rows take more tasks.
+PART_ROWS = 1 << 20
 
 # From the name of a key column to a frame of its hot keys.
 HotKeys = Callable[[str], DataFrame]
@@ -55,6 +58,14 @@ def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     return total <= _limit(df)
 
 
+def enough_parts(spark: SparkSession, rows: int) -> int:
+    """Shuffle partitions for ``rows``: the session's, doubled until none holds over ``PART_ROWS``."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while parts * PART_ROWS < rows:
+        parts *= 2
+    return parts
+
+
 def hot_share(df: DataFrame) -> int:
     """A key is hot above one part in this many; fewer keys than this can be."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -75,26 +86,40 @@ def lookup_join(
     how: str = "left",
     right_rows: int | None = None,
     hot: HotKeys | None = None,
+    colocated: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """``left`` of any size and skew joined to ``right``, which is unique on ``key``.
 
     ``how`` is ``left``, ``inner`` or ``left_semi``. ``hot`` supplies hot keys found
-    earlier when the same left side is joined again and again.
+    earlier when the same left side is joined again and again. Where both sides are shuffled,
+    partitions follow the number of ``rows``, counted unless given: what a task sorts does not
+    grow with the input. ``colocated`` rows lie together by the key and stay.
     """
     if fits_broadcast(right, right_rows):
         return left.join(F.broadcast(right), key, how)
+    if not colocated and rows is None:
+        rows = left.count()
     found = hot(key) if hot else hot_keys(left, key)
+    parts = 0 if colocated else enough_parts(left.sparkSession, rows)
     if found.isEmpty():
-        keyed = left.where(F.col(key).isNotNull()).join(right, key, how)
+        keyed = _shuffled(left.where(F.col(key).isNotNull()), right, key, how, parts)
         if how != "left":
             return keyed
         empty = F.broadcast(right.limit(0))  # rows without a key stay where they are
         return keyed.unionByName(left.where(F.col(key).isNull()).join(empty, key, how))
-    return _split_join(left, materialize(right, "lookup"), key, how, found)
+    return _split_join(left, materialize(right, "lookup"), key, how, found, parts)
+
+
+def _shuffled(left: DataFrame, right: DataFrame, key: str, how: str, parts: int) -> DataFrame:
+    """Spark's own choice of partitions where the session's are enough, ``parts`` of them otherwise."""
+    if parts > int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        left, right = left.repartition(parts, key), right.repartition(parts, key)
+    return left.join(right, key, how)
 
 
 def _split_join(
-    left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame
+    left: DataFrame, right: DataFrame, key: str, how: str, hot: DataFrame, parts: int
 ) -> DataFrame:
     hot_right = right.join(F.broadcast(hot), key, "left_semi")
     hot_left = left.join(F.broadcast(hot), key, "left_semi")
@@ -102,4 +127,4 @@ def _split_join(
     if how == "left":  # rows without a key need no partner and must not shuffle together
         hot_left = hot_left.unionByName(left.where(F.col(key).isNull()))
     answered = hot_left.join(F.broadcast(hot_right), key, how)
-    return answered.unionByName(spread_left.join(right, key, how))
+    return answered.unionByName(_shuffled(spread_left, right, key, how, parts))

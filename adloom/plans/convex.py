@@ -162,7 +162,7 @@ def _fit(
         raise ValueError(f"solver is tables, path or driver, not {solver}")
     if not history:
         history.append(measured(max(len(objective) - 1, 0), weights))
-    release(part.tokens)
+    part.release()
     return ConvexFit(weights, history_frame(spark, history), objective=objective, stages=stages)
 
 

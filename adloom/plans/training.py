@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.functions.columns import sample_bucket
-from adloom.operators.lookup import HotKeys, hot_share
+from adloom.operators.lookup import HotKeys, enough_parts, hot_share
 from adloom.operators.tokens import whole_parts
 from adloom.schema import HISTORY
 from adloom.workspace import drop_bucketed, materialize, materialize_bucketed, release
@@ -33,6 +33,14 @@ class Part:
     n_instances: int
     hot: HotKeys
     colocated: bool = False
+    table: str | None = None  # the catalog's name of colocated tokens
+
+    def release(self) -> None:
+        """Delete the tokens, and the catalog's entry of colocated ones."""
+        if self.table:
+            drop_bucketed(self.tokens, self.table)
+        else:
+            release(self.tokens)
 
 
 @dataclass
@@ -62,7 +70,7 @@ class TrainingTokens:
 
     def all(self) -> Part:
         hot = lambda key: self._hot_table(key).select(key).distinct()
-        return Part(self.tokens.drop("bucket"), sum(self.sizes.values()), hot, self.table is not None)
+        return Part(self.tokens.drop("bucket"), sum(self.sizes.values()), hot, self.table is not None, self.table)
 
     def sample(self, iteration: int) -> Part:
         chosen = self.drawn.of(iteration) if self.drawn else [iteration % len(self.sizes)]
@@ -70,7 +78,7 @@ class TrainingTokens:
         # A key that is hot in the part is hot in one of its buckets at least.
         hot = lambda key: self._hot_table(key).where(in_bucket).select(key).distinct()
         part = self.tokens.where(in_bucket).drop("bucket")
-        return Part(part, sum(self.sizes[b] for b in chosen), hot, self.table is not None)
+        return Part(part, sum(self.sizes[b] for b in chosen), hot, self.table is not None, self.table)
 
     def _hot_table(self, key: str) -> DataFrame:
         """Keys that outgrow a shuffle partition of their bucket, found once when first
@@ -120,8 +128,9 @@ def lay_out(
         bucket = F.pmod(F.xxhash64("instance_id"), F.lit(buckets)).cast("int")
     bucketed = tokens.select("instance_id", "label", "sign").withColumn("bucket", bucket)
     table = None
-    if colocate and not _has_hot_instance(tokens):
-        n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most, total = _instance_sizes(tokens) if colocate else (0, 0)
+    if colocate and most * hot_share(tokens) <= max(total, LEAST_HOT * hot_share(tokens)):
+        n = enough_parts(tokens.sparkSession, total)
         written, table = materialize_bucketed(bucketed, "tokens", "instance_id", n, ("bucket",))
     else:
         together = "bucket" if buckets > 1 else "instance_id"
@@ -134,10 +143,11 @@ def lay_out(
     return TrainingTokens(written, {b: found.get(b, 0) for b in range(buckets)}, drawn, table)
 
 
-def _has_hot_instance(tokens: DataFrame) -> bool:
+def _instance_sizes(tokens: DataFrame) -> tuple[int, int]:
+    """Tokens of the largest instance, and of all."""
     per_instance = tokens.groupBy("instance_id").count()
     found = per_instance.agg(F.max("count").alias("most"), F.sum("count").alias("total")).first()
-    return (found["most"] or 0) * hot_share(tokens) > max(found["total"] or 0, LEAST_HOT * hot_share(tokens))
+    return found["most"] or 0, found["total"] or 0
 
 
 @dataclass

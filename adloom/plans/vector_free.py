@@ -223,7 +223,7 @@ def start(part: Part, features: DataFrame, l2: float, weights: DataFrame | None
     else:
         table = table.join(weights.select("sign", "w"), "sign", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
         margins = _margins(part, weights.withColumnRenamed("w", "z"), ["z"], None)
-    gradient = token_gradient(part.tokens, _residuals(margins, F.col("z")), part.n_instances, part.hot)
+    gradient = token_gradient(part.tokens, _residuals(margins, F.col("z")), part.n_instances, part.hot, part.colocated)
     curved = F.coalesce(F.col("touched"), F.lit(0)) / 4 + l2  # no instance curves the loss more than this
     table = table.join(gradient, "sign", "left").select(
         "sign", "w", (F.coalesce("g", F.lit(0.0)) + l2 * F.col("w")).alias("g"),
@@ -264,7 +264,7 @@ def minimise(
         if not found.objective:
             found.objective.append(before)
         found.objective.append(now)
-        gradient = token_gradient(part.tokens, _residuals(margins, z), part.n_instances, part.hot).select("sign", F.col("g").alias("new"))
+        gradient = token_gradient(part.tokens, _residuals(margins, z), part.n_instances, part.hot, part.colocated).select("sign", F.col("g").alias("new"))
         kept = min(len(it.kept) + 1, history)
         moved = state.withColumn("moved", it.step(alpha)).join(gradient, "sign", "left")
         smooth = F.coalesce("new", F.lit(0.0)) + l2 * F.col("moved")
@@ -343,8 +343,12 @@ def elastic_path(
 
 
 def training_part(instances_tokens: DataFrame, features: DataFrame) -> Part:
-    """Tokens of known features with binary labels, written once for all passes."""
+    """Tokens of known features with binary labels, written once for all passes.
+
+    They are bucketed by instance: margins need no shuffle, and residuals, a row per instance,
+    come to the tokens by a shuffle of their own and never through the driver.
+    """
     label = F.when(F.col("label") > 0, 1).otherwise(0).alias("label")  # counts above one are clicks too
     tokens = instances_tokens.select("instance_id", label, "sign")
     kept = lookup_join(tokens, features.select("sign").distinct(), "sign", "left_semi")
-    return lay_out(kept).all()
+    return lay_out(kept, colocate=True).all()

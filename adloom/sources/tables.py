@@ -77,7 +77,9 @@ def order_tokens(spark: SparkSession, sf_dir: str, label_mode: str = "binary") -
         F.col("clicks").cast("int") if label_mode == "raw" else binarize_label(F.col("clicks"))
     )
     headers = totals.withColumn("label", label)
-    labelled = lookup_join(lines, headers, "instance_id", "inner", right_rows=lines.count())
+    n = lines.count()
+    # Two tokens come of a line: partitions that suit them need no other shuffle on the order.
+    labelled = lookup_join(lines, headers, "instance_id", "inner", right_rows=n, rows=2 * n)
     feats = F.array(
         F.struct(slot_sign(1, F.col("l_suppkey")).alias("sign"), F.lit(1).alias("slot")),
         F.struct(slot_sign(2, F.col("quantity")).alias("sign"), F.lit(2).alias("slot")),

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from adloom.operators import lookup
-from adloom.operators.lookup import hot_keys, lookup_join
+from adloom.operators.lookup import fits_broadcast, hot_keys, lookup_join
+from adloom.plans.vector_free import training_part
 
 
 def skewed(spark, n=9000):
@@ -62,3 +63,22 @@ def test_queries_agree_without_broadcast(spark, small, no_broadcast, name):
 
     con = check.connect(small)
     assert check.difference(queries()[name](spark, small), con, oracle_sql()[name]) is None
+
+
+def test_residuals_of_many_instances_stay_off_the_driver(spark):
+    residuals = spark.range(600_000).select(F.col("id").alias("instance_id"), F.lit(0.5).alias("r"))
+    assert not fits_broadcast(residuals, 600_000)
+    tokens = spark.range(40).select((F.col("id") % 20).alias("instance_id"), F.lit(1).alias("label"), F.col("id").alias("sign"))
+    part = training_part(tokens, tokens)
+    assert part.colocated
+    part.release()
+
+
+def test_shuffled_lookups_take_partitions_by_their_rows(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(lookup, "PART_ROWS", 100)
+    left = spark.range(5000).select((F.col("id") % 2500).alias("k"))
+    right = spark.range(2500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    joined = lookup.lookup_join(left, right, "k", "inner")
+    assert joined.where("x = 2 * k").count() == 5000
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 40 and max(sizes) < 250
