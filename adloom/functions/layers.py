@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
+_BLOCK = 1 << 15  # numbers of a table that are stepped at once
+
 
 def depth(params: dict[str, np.ndarray]) -> int:
     return sum(name.startswith("w") for name in params)
@@ -25,9 +27,7 @@ def first_layer(slot_of: np.ndarray, p: dict[str, np.ndarray], rows, flat, n: in
         np.add.at(pooled, rows * n_slots + slot_of[flat], p["emb"][flat])
         dense = pooled.reshape(n, -1)
         return dense @ p["w1"] + p["b1"], dense
-    a = np.repeat(p["b1"], n, axis=0)
-    np.add.at(a, rows, p["w1"][flat])  # gathers rows, never a dense multi-hot
-    return a, None
+    return p["b1"] + _sums(p["w1"], flat, rows, n), None  # gathers rows, never a dense multi-hot
 
 
 def gradients(
@@ -36,22 +36,27 @@ def gradients(
     """Summed log loss of a minibatch and the gradient of its mean."""
     n, last = len(y), depth(p)
     a, dense = first_layer(slot_of, p, rows, flat, n, n_slots)
-    outputs = [np.maximum(a, 0.0)]
-    for i in range(2, last + 1):
-        outputs.append(outputs[-1] @ p[f"w{i}"] + p[f"b{i}"])
-    z = outputs[-1][:, 0]
+    hidden = np.maximum(a, 0.0)
+    # The layers after the first are linear with one output, so a batch passes them as one vector:
+    # folds[i] is what a unit of layer i adds to the margin, and every gradient has rank one.
+    folds, offset = {last: np.ones((1, 1), a.dtype)}, 0.0
+    for i in range(last, 1, -1):
+        offset = offset + float((p[f"b{i}"] @ folds[i])[0, 0])
+        folds[i - 1] = p[f"w{i}"] @ folds[i]
+    z = (hidden @ folds[1])[:, 0] + a.dtype.type(offset)
     loss = float(np.sum(np.logaddexp(0.0, z) - y * z))
 
     g: dict[str, np.ndarray] = {}
     d = ((1.0 / (1.0 + np.exp(-np.clip(z, -500, 500))) - y) / n)[:, None]
-    for i in range(last, 1, -1):
-        g[f"w{i}"], g[f"b{i}"] = outputs[i - 2].T @ d, d.sum(axis=0, keepdims=True)
-        d = d @ p[f"w{i}"].T
-    d = d * (a > 0)
+    total = d.sum(axis=0, keepdims=True)
+    along = d.T @ hidden  # the layer's outputs, summed by the residuals
+    for i in range(2, last + 1):
+        g[f"w{i}"], g[f"b{i}"] = along.T @ folds[i].T, total @ folds[i].T
+        along = along @ p[f"w{i}"] + total * p[f"b{i}"]
+    d = (d @ folds[1].T) * (a > 0)
     g["b1"] = d.sum(axis=0, keepdims=True)
     if dense is None:
-        g["w1"] = np.zeros_like(p["w1"])
-        np.add.at(g["w1"], flat, d[rows])
+        g["w1"] = _sums(d, rows, flat, len(p["w1"]))
     else:
         g["w1"] = dense.T @ d
         n_slots = n_slots or slot_of[-1] + 1
@@ -61,18 +66,42 @@ def gradients(
     return loss, g
 
 
+def _sums(values: np.ndarray, take, into, n: int) -> np.ndarray:
+    """``n`` rows of sums: row ``into[i]`` gathers ``values[take[i]]``."""
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(into):
+        order = np.argsort(into, kind="stable")
+        rows, starts = np.unique(into[order], return_index=True)
+        out[rows] = np.add.reduceat(values[take[order]], starts, axis=0)
+    return out
+
+
 class Adam:
     def __init__(self, rate: float):
-        self.rate, self.t, self.m, self.s = rate, 0, {}, {}
+        self.rate, self.t, self.m, self.s, self.own = rate, 0, {}, {}, {}
 
     def step(self, params: dict[str, np.ndarray], grads: dict[str, np.ndarray]) -> None:
         self.t += 1
         # A plain float, unlike a numpy one, leaves the arrays in single precision.
         rate = float(self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for name, g in grads.items():
-            m = self.m[name] = 0.9 * self.m.get(name, 0.0) + 0.1 * g
-            s = self.s[name] = 0.999 * self.s.get(name, 0.0) + 0.001 * g * g
-            params[name] = params[name] - rate * m / (np.sqrt(s) + 1e-8)
+            if name not in self.m:
+                self.m[name], self.s[name] = np.zeros_like(g), np.zeros_like(g)
+            if params[name] is not self.own.get(name):  # what the caller gave is not written to
+                params[name] = self.own[name] = params[name].copy()
+            whole = (params[name], g, self.m[name], self.s[name])
+            height = max(1, _BLOCK // max(1, g.shape[1]))
+            for at in range(0, len(g), height):  # blocks that stay in the cache
+                x, dx, m, s = (table[at : at + height] for table in whole)
+                m *= 0.9
+                m += 0.1 * dx
+                s *= 0.999
+                s += 0.001 * dx * dx
+                step = np.sqrt(s)
+                step += 1e-8
+                np.divide(m, step, out=step)
+                step *= rate
+                x -= step
 
 
 class ActiveRows:

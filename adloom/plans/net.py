@@ -183,7 +183,7 @@ def train_step(
     for r in summed:
         if r["layer"] != "loss":
             grads[r["layer"]][r["row"]] = np.asarray(r["g"]) / total[1]
-    params, adam = dict(net.params), adam or layers.Adam(learning_rate)
+    params, adam = {name: v.copy() for name, v in net.params.items()}, adam or layers.Adam(learning_rate)
     adam.step(params, grads)
     return Net(net.slot_of, params), adam, total[0] / total[1]
 

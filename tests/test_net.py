@@ -136,3 +136,24 @@ def test_minibatches_cross_frames():
     frames = [pd.DataFrame({"x": range(a, b)}) for a, b in ((0, 5), (5, 6), (6, 17))]
     sizes = [len(b) for b in layers.minibatches(iter(frames), 4)]
     assert sizes == [4, 4, 4, 4, 1]
+
+
+class Counted(np.ndarray):
+    """A matrix that counts the multiplications it takes part in."""
+
+    work = 0
+
+    def __array_ufunc__(self, ufunc, method, *inputs, **options):
+        plain = [np.asarray(x) if isinstance(x, Counted) else x for x in inputs]
+        if ufunc is np.matmul:
+            Counted.work += plain[0].shape[0] * plain[0].shape[1] * plain[1].shape[1]
+        return getattr(ufunc, method)(*plain, **options)
+
+
+def test_linear_layers_are_passed_once_a_batch():
+    rng = np.random.default_rng(0)
+    p = {"w1": rng.normal(size=(9, 8)), "b1": np.ones((1, 8)), "w2": rng.normal(size=(8, 5)).view(Counted), "b2": np.ones((1, 5)),
+         "w3": rng.normal(size=(5, 1)), "b3": np.ones((1, 1))}
+    rows, flat = np.arange(200), rng.integers(0, 9, 200)
+    layers.gradients(np.zeros(9, int), p, rows, flat, rng.integers(0, 2, 200).astype(float))
+    assert Counted.work <= 2 * 8 * 5
