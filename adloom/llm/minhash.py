@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adloom.llm import simhash
 from adloom.llm.common import partitions, rows_of
 from adloom.llm.components import components
 from adloom.llm.shards import OVERFULL, find_ranges, split
@@ -289,8 +290,10 @@ def classes(
 ) -> DataFrame:
     """``h``, ``class`` (a number) of every distinct ``h`` of ``rows``, which :func:`named` gives.
 
-    Classes are connected over links of at least ``similarity``. Texts that share a band of
-    their signatures are candidates, and links are decided on whole shingle sets. First all
+    Classes are connected over links of at least ``similarity``. Candidates are texts whose
+    SimHash fingerprints are connected by links within 2 bits (``op6``'s ball hashing), as one
+    group each, and, for those that differ in more bits, texts that share a band of their
+    signatures; links are decided on whole shingle sets. First all
     members of a band are compared with its smallest one. Members that are in its component
     are then done, but for those near enough to a member that is not; the rest of each band
     is compared pair by pair in bounded blocks. So no link that would join two classes is
@@ -299,7 +302,7 @@ def classes(
     """
     n_bands = permutations // BAND_ROWS
 
-    @F.pandas_udf("bands array<long>, size int")
+    @F.pandas_udf("bands array<long>, size int, fp long")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hasher = MinHash(shingle, permutations)
         for batch in batches:
@@ -308,8 +311,8 @@ def classes(
                 runs = hasher.shingles(text)
                 table = hasher.signed(runs).reshape(n_bands, -1)
                 bands = [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(table)]
-                out.append((bands if len(runs) else [], len(runs)))
-            yield pd.DataFrame(out, columns=["bands", "size"])
+                out.append((bands if len(runs) else [], len(runs), simhash.fingerprint(text)))
+            yield pd.DataFrame(out, columns=["bands", "size", "fp"])
 
     @F.pandas_udf("array<long>")
     def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -319,7 +322,12 @@ def classes(
 
     single = rows.select("id", "h", sign("text").alias("s")).groupBy("h").agg(F.min("id").alias("id"), F.first("s").alias("s"))
     signed = materialize(single.select("h", "id", "s.*", F.monotonically_increasing_id().alias("node")), "signed")
-    bands = signed.select("node", "size", F.explode("bands").alias("band"))
+    prints = signed.where("size > 0").select("node", "size", "fp")
+    near = components(simhash.links(prints)).withColumnRenamed("node", "fp")
+    group = F.xxhash64(F.coalesce("root", "fp"), F.lit("simhash")).alias("band")
+    bands = signed.select("node", "size", F.explode("bands").alias("band")).unionByName(
+        prints.join(near, "fp", "left").select("node", "size", group)
+    )
     first = bands.groupBy("band").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = materialize(bands.join(first, "band"), "met")
     wanted = signed.join(met.select("node").distinct(), "node").select("node", F.col("h").alias("wh"), F.col("id").alias("wid"))

@@ -53,8 +53,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, of all empty ones too.
 
-    Near-duplicates have 0.8 or more of their five-word runs in common. Fingerprints within
-    2 bits lose most of them, so signature bands search and exact Jaccard decides.
+    Near-duplicates have 0.8 or more of their five-word runs in common. SimHash fingerprints
+    within 2 bits (``op6``) search; they lose most pairs near 0.8, so signature bands search
+    beside them. Exact Jaccard decides on what either finds.
     """
     return minhash.keep_one(docs)
 
@@ -73,7 +74,7 @@ def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
-    ("near-dedup by MinHash bands and exact Jaccard", drop_near_duplicates),
+    ("near-dedup by SimHash balls, MinHash bands and exact Jaccard", drop_near_duplicates),
     ("mixing sources to target weights", mix_sources),
     ("BPE encoding and decoding", encode_texts),
 ]

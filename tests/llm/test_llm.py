@@ -351,3 +351,17 @@ def test_a_worker_holds_one_thing():
     assert held("b") is None and _held == ["b", None]
     assert held("a", lambda: made.append("a") or [2]) == [2] and made == ["a", "a"]
     held(None)
+
+
+def test_simhash_links_reach_the_pipeline(spark, monkeypatch):
+    """With one band of the whole signature, only fingerprints can bring two texts together."""
+    monkeypatch.setattr(minhash, "BAND_ROWS", minhash.PERMUTATIONS)
+    words = [f"w{i}" for i in range(400)]
+    text, base = " ".join(words), simhash.fingerprint(" ".join(words))
+    near = [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(0, 400, 4)]
+    near = next(t for t in near if 0 < (simhash.fingerprint(t) ^ base).bit_count() <= 2)
+    hasher = minhash.MinHash()
+    assert (hasher.signature(text) != hasher.signature(near)).any()
+    rows = [(1, text), (2, near), (3, "nothing like it at all"), (4, None), (5, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()) == [1, 3, 4]
