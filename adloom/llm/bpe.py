@@ -11,8 +11,9 @@ All arcs of one token lead to one state, so the token names the state. A state i
 of an older one less one arc, so it is kept as the reference it was copied from and the
 time of the copy, never as a list of arcs: ``exits`` holds, for a token, the tokens whose
 lost arcs its state shares and until when, ``entries`` the tokens through whose loss its
-own arc would be missing. ``follows`` reads an arc from those, and each arc that was read
-stays in a table.
+own arc would be missing. ``follows`` reads an arc from those, and arcs that were read
+stay in a table until it is full. Every Python worker holds an automaton of its own, so
+its pairs are kept in arrays: as objects, the same numbers take several times their room.
 
 A pre-split word is encoded by following arcs whose labels spell it; just one path does.
 Decoding joins the labels of the arcs.
@@ -22,7 +23,8 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 from adloom.llm.common import Memory, held
 
-#: Encoded words (in each of two generations) and arcs that a task remembers.
-REMEMBERED_WORDS = 250_000
-REMEMBERED_ARCS = 250_000
+#: Encoded words (in each of two generations) and arcs that a task remembers. A dict doubles beyond 174,762 keys.
+REMEMBERED_WORDS = 170_000
+REMEMBERED_ARCS = 170_000
 LONGEST_KEPT = 64
 _SLICE = 128  # rows that are encoded before they are passed on
 
@@ -49,20 +51,47 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Pairs:
+    """For each token pairs of a token and a time, set once, end to end in two arrays."""
+
+    def __init__(self, size: int):
+        self.token, self.until = array("i"), array("i")
+        self.start, self.end = array("i", [-1]) * size, array("i", [-1]) * size
+
+    def __contains__(self, token: int) -> bool:
+        return self.start[token] >= 0
+
+    def __getitem__(self, token: int) -> Iterator[tuple[int, int]]:
+        a, b = self.start[token], self.end[token]
+        return zip(self.token[a:b], self.until[a:b])
+
+    def __setitem__(self, token: int, pairs: Iterable[tuple[int, int]]) -> None:
+        self.start[token] = len(self.token)
+        for t, until in pairs:
+            self.token.append(t)
+            self.until.append(until)
+        self.end[token] = len(self.token)
+
+
 class Automaton:
     def __init__(self, vocabulary: bytes):
         spec = json.loads(vocabulary)
         letters, model = byte_letters(), spec["model"]
         ids: dict[str, int] = model["vocab"]
-        self.label = {i: bytes(letters[c] for c in t) for t, i in ids.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.label |= {i: t.encode() for t, i in self.special.items()}
-        self.size = 1 + max(self.label)
+        self.size = 1 + max([*ids.values(), *self.special.values()])
+        self.label = [b""] * self.size
+        for t, i in ids.items():
+            self.label[i] = bytes(letters[c] for c in t)
+        for t, i in self.special.items():
+            self.label[i] = t.encode()
         forever = len(model["merges"])
         #: (u, v) as one number -> the time at which the gadget took arc v from u's state.
         self.lost: dict[int, int] = {}
-        self.exits = {ids[c]: ((ids[c], forever),) for c in letters}
-        self.entries = dict(self.exits)
+        self.exits, self.entries = Pairs(self.size), Pairs(self.size)
+        merged = [ids[c] for c in letters]
+        for i in merged:
+            self.exits[i] = self.entries[i] = ((i, forever),)
         self.arcs: dict[int, bool] = {}
         for time, (left, right) in enumerate(model["merges"]):
             u, v, w = ids[left], ids[right], ids[left + right]
@@ -72,12 +101,13 @@ class Automaton:
                 reach = time + (u == v)
                 self.entries[w] = ((w, forever), *((t, min(reach, until)) for t, until in self.entries[u]))
                 self.lost[u * self.size + v] = time
+                merged.append(w)
         #: A trie of the labels: (node, byte) as one number -> node; and the token at a node.
         self.trie: dict[int, int] = {}
-        self.ends: list[int] = [-1]
+        self.ends = array("i", [-1])
         #: The longest token that begins each token, -1 where none does.
-        self.shorter: dict[int, int] = {}
-        for i in sorted(self.exits, key=lambda t: len(self.label[t])):
+        self.shorter = array("i", [-1]) * self.size
+        for i in sorted(merged, key=lambda t: len(self.label[t])):
             node, begins = 0, -1
             for byte in self.label[i]:
                 begins = max(begins, self.ends[node], key=lambda t: len(self.label[t]) if t >= 0 else 0)
@@ -92,9 +122,9 @@ class Automaton:
 
     def _arc(self, u: int, v: int) -> bool:
         """Whether the state that u leads to has an arc v."""
-        lost, size = self.lost, self.size
+        lost, size, entries = self.lost, self.size, list(self.entries[v])
         for a, until in self.exits[u]:
-            for b, too in self.entries[v]:
+            for b, too in entries:
                 time = lost.get(a * size + b)
                 if time is not None and time < until and time < too:
                     return False
@@ -111,10 +141,9 @@ class Automaton:
 
     def longest(self, word: bytes, at: int) -> int:
         """The longest token that ``word`` has at a position."""
-        trie, ends, node, found = self.trie, self.ends, 0, -1
-        for byte in word[at:]:
-            node = trie.get(node << 8 | byte)
-            if node is None:
+        step, ends, node, found = self.trie.get, self.ends, 0, -1
+        for byte in word[at:] if at else word:
+            if (node := step(node << 8 | byte)) is None:
                 break
             if (token := ends[node]) >= 0:
                 found = token

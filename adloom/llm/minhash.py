@@ -31,9 +31,6 @@ SIMILARITY = 0.8
 #: Texts, and their shingles, of one block that is compared pair by pair.
 BLOCK = 128
 BLOCK_RUNS = 1 << 18
-#: Word hashes that a task remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
-LONGEST_KEPT = 64
 #: Results of equal rows that one row of a task makes.
 COPIES = 4096
 _BLOCK = 256  # shingles that are permuted at once, so that they stay in the cache
@@ -47,24 +44,13 @@ class MinHash:
         self.shingle = shingle
         self.a = random.integers(0, 1 << 63, permutations, np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = random.integers(0, 1 << 63, permutations, np.uint64)
-        self.known: dict[bytes, int] = {}
-
-    def _word(self, word: bytes) -> int:
-        found = self.known.get(word)
-        if found is None:
-            found = xxhash.xxh64_intdigest(word)
-            if len(word) <= LONGEST_KEPT:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[word] = found
-        return found
 
     def shingles(self, text: str) -> np.ndarray:
         """Numbers of the distinct word runs; a shorter text is one run, an empty one has none."""
         words = text.encode().split()
         if not words:
             return np.zeros(0, np.uint64)
-        hashes = np.fromiter(map(self._word, words), np.uint64, len(words))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         k = min(self.shingle, len(words))
         n = len(words) - k + 1
         run = hashes[:n].copy()

@@ -1,7 +1,9 @@
 """The text operators against brute force, on small fixtures and edge rows."""
 
+import gc
 import hashlib
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -365,3 +367,39 @@ def test_simhash_links_reach_the_pipeline(spark, monkeypatch):
     rows = [(1, text), (2, near), (3, "nothing like it at all"), (4, None), (5, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()) == [1, 3, 4]
+
+
+def _kept_mb(make):
+    """MB that Python objects take which ``make`` leaves behind."""
+    gc.collect()
+    tracemalloc.start()
+    try:
+        left = make()
+        gc.collect()
+        return tracemalloc.get_traced_memory()[0] / 1e6, left
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_keeps_little_for_bpe():
+    """Each Python worker of an executor has an automaton, with all that it may remember."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        vocabulary = f.read()
+    mb, automaton = _kept_mb(lambda: bpe.Automaton(vocabulary))
+    assert mb < 30  # 59 as dicts of tuples
+
+    def fill():
+        automaton.known.function = lambda word: bytes(8)
+        for i in range(2 * 250_000):
+            automaton.known.one(f"word{i}")
+        for i in range(250_000):
+            automaton.follows(i % 256, i // 256)
+
+    mb, _ = _kept_mb(fill)
+    assert mb < 55  # 80 with 250,000 words in a generation, and as many arcs
+
+
+def test_minhash_keeps_no_words():
+    hasher, text = minhash.MinHash(), " ".join(f"word{i}" for i in range(200_000))
+    mb, _ = _kept_mb(lambda: len(hasher.shingles(text)))
+    assert mb < 1
