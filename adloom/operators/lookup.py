@@ -26,8 +26,8 @@ PART_ROWS = 1 << 20
 HotKeys = Callable[[str], DataFrame]
 
 
-def _limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.adloom.broadcastBytes", str(BROADCAST_BYTES)))
+def broadcast_limit(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.adloom.broadcastBytes", str(BROADCAST_BYTES)))
 
 
 def _fixed_width(data_type: T.DataType) -> int:
@@ -41,7 +41,7 @@ def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     ]
     width = 16 + sum(_fixed_width(f.dataType) for f in df.schema.fields)
     if rows is not None and not variable:
-        return rows * width <= _limit(df)
+        return rows * width <= broadcast_limit(df.sparkSession)
     sizes = [
         F.octet_length(f.name)
         if isinstance(f.dataType, T.StringType)
@@ -55,7 +55,7 @@ def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     total = measured["rows"] * width + sum(
         measured[f"s{i}"] or 0 for i in range(len(sizes))
     )
-    return total <= _limit(df)
+    return total <= broadcast_limit(df.sparkSession)
 
 
 def enough_parts(spark: SparkSession, rows: int) -> int:

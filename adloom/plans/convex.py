@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from adloom.operators.linear import score_linear
 from adloom.operators.metrics import evaluate
 from adloom.operators.tokens import explode_tokens
+from adloom.plans.packed import packed_part
 from adloom.plans.training import Fit, OnIteration, Part, history_frame
 from adloom.plans.vector_free import EARLY, EARLY_STEPS, Stage, elastic_path, minimise, start, training_part
 from adloom.workspace import materialize, release
@@ -120,7 +121,8 @@ def _fit(
         weights, objective = _driver_fit(_instance_names(train), features, n, l1, l2, max_iter, tol)
         return ConvexFit(weights, history_frame(spark, [measured(len(objective) - 1, weights)]), objective=objective)
 
-    part = training_part(explode_tokens(train), features)
+    tokens = explode_tokens(train)
+    part = (packed_part(tokens, features) if solver == "tables" else None) or training_part(tokens, features)
     history: list[tuple] = []
     objective: list[float] = []
     # Instances without any known feature have score 0 whatever the weights.
@@ -131,8 +133,8 @@ def _fit(
             history.append(measured(len(history), weights))
             on_iteration(len(history) - 1, weights)
 
-        steps = max_iter if last else min(max_iter, EARLY_STEPS)
-        found = minimise(own, first, goal, l2, steps, tol if last else max(tol, EARLY), visit=visit if on_iteration else None)
+        steps, bound = (max_iter, tol) if last else (min(max_iter, EARLY_STEPS), max(tol, EARLY))
+        found = minimise(own, first, goal, l2, steps, bound, visit=visit if on_iteration else None)
         objective.extend((f + rest) / max(n, 1) for f in found.objective)
         weights = materialize(found.weights, "weights")
         if found.state is not first:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ from adloom.operators.tokens import whole_parts
 from adloom.schema import HISTORY
 from adloom.workspace import drop_bucketed, materialize, materialize_bucketed, release
 
+if TYPE_CHECKING:
+    from adloom.plans.packed import Packed
+
 # An instance below this many tokens is never hot, however small the table.
 LEAST_HOT = 10000
 
@@ -34,10 +38,13 @@ class Part:
     hot: HotKeys
     colocated: bool = False
     table: str | None = None  # the catalog's name of colocated tokens
+    packed: Packed | None = None  # the tokens again as arrays; ``tokens`` are then not written
 
     def release(self) -> None:
         """Delete the tokens, and the catalog's entry of colocated ones."""
-        if self.table:
+        if self.packed:
+            self.packed.release()
+        elif self.table:
             drop_bucketed(self.tokens, self.table)
         else:
             release(self.tokens)
@@ -128,8 +135,8 @@ def lay_out(
         bucket = F.pmod(F.xxhash64("instance_id"), F.lit(buckets)).cast("int")
     bucketed = tokens.select("instance_id", "label", "sign").withColumn("bucket", bucket)
     table = None
-    most, total = _instance_sizes(tokens) if colocate else (0, 0)
-    if colocate and most * hot_share(tokens) <= max(total, LEAST_HOT * hot_share(tokens)):
+    most, total = instance_sizes(tokens) if colocate else (0, 0)
+    if colocate and not has_hot_instance(tokens, most, total):
         n = enough_parts(tokens.sparkSession, total)
         written, table = materialize_bucketed(bucketed, "tokens", "instance_id", n, ("bucket",))
     else:
@@ -143,13 +150,18 @@ def lay_out(
     return TrainingTokens(written, {b: found.get(b, 0) for b in range(buckets)}, drawn, table)
 
 
-def _instance_sizes(tokens: DataFrame) -> tuple[int, int]:
+def instance_sizes(tokens: DataFrame) -> tuple[int, int]:
     """Tokens of the largest instance, and of all."""
     per_instance = tokens.groupBy("instance_id").count()
     found = per_instance.agg(F.max("count").alias("most"), F.sum("count").alias("total")).first()
     return found["most"] or 0, found["total"] or 0
 
 
+def has_hot_instance(tokens: DataFrame, most: int, total: int) -> bool:
+    """Whether an instance of ``most`` out of ``total`` tokens is above a task's fair share."""
+    return most * hot_share(tokens) > max(total, LEAST_HOT * hot_share(tokens))
+
+
 @dataclass
 class Fit:
     """A trained model: its weight frame and one history row per iteration."""

@@ -10,6 +10,10 @@ out of one pass over the tokens; as scores are linear in the step, one more aggr
 the objective at all trial steps at once. With an l1 term a trial step is cut off where a
 weight would change its sign, so a few trial weights are scored side by side instead.
 
+Where a vector may be broadcast, ``packed`` holds the tokens, and the columns are arrays: one pass
+then gives the objective and the gradient at a full step, which is nearly always taken. The limit
+of a broadcast bounds what the driver holds; beyond it, all vectors are tables as said above.
+
 ``elastic_path`` lowers the l1 term to its goal in stages. The strong rule drops the
 features that will most likely stay at 0, and a stage's fit reads the tokens of the
 surviving ones only. After the last stage the pseudo-gradient of all dropped features is
@@ -37,6 +41,8 @@ TRIALS, GROUP = 20, 4
 SUFFICIENT = 1e-4
 #: Share of the objective below which a difference is rounding.
 ROUNDING = 1e-11
+#: Steps whose mean gain is compared.
+GAINS = 5
 #: The l1 terms of two stages differ by this factor at most (the strong rule drops nothing
 #: at 0.5); stages before the last end at this tolerance, or after so many steps.
 RATIO, EARLY, EARLY_STEPS = 0.55, 1e-2, 20
@@ -215,6 +221,8 @@ def _residuals(margins: DataFrame, z: Column) -> DataFrame:
 
 def start(part: Part, features: DataFrame, l2: float, weights: DataFrame | None = None) -> DataFrame:
     """The first table: ``sign``, ``w``, the smooth gradient ``g`` and the scale ``h`` of each of the ``features``."""
+    if part.packed:
+        return _packed_start(part, l2, weights)
     table = features.select("sign").distinct()
     if weights is None:
         table = table.withColumn("w", F.lit(0.0))
@@ -224,16 +232,30 @@ def start(part: Part, features: DataFrame, l2: float, weights: DataFrame | None
         table = table.join(weights.select("sign", "w"), "sign", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
         margins = _margins(part, weights.withColumnRenamed("w", "z"), ["z"], None)
     gradient = token_gradient(part.tokens, _residuals(margins, F.col("z")), part.n_instances, part.hot, part.colocated)
-    curved = F.coalesce(F.col("touched"), F.lit(0)) / 4 + l2  # no instance curves the loss more than this
-    table = table.join(gradient, "sign", "left").select(
-        "sign", "w", (F.coalesce("g", F.lit(0.0)) + l2 * F.col("w")).alias("g"),
-        F.when(curved > 0, 1 / curved).otherwise(1.0).alias("h"),
-    )
-    table = materialize(table, "state")
+    table = materialize(table.join(gradient, "sign", "left").select("sign", "w", *_smooth_and_scale(l2)), "state")
     release(margins)
     return table
 
 
+def _smooth_and_scale(l2: float) -> list[Column]:
+    """The smooth gradient and the scale, of the loss's gradient ``g`` and the ``touched`` tokens."""
+    curved = F.coalesce(F.col("touched"), F.lit(0)) / 4 + l2  # no instance curves the loss more than this
+    smooth = F.coalesce("g", F.lit(0.0)) + l2 * F.col("w")
+    return [smooth.alias("g"), F.when(curved > 0, 1 / curved).otherwise(1.0).alias("h")]
+
+
+def _packed_start(part: Part, l2: float, weights: DataFrame | None) -> DataFrame:
+    """As ``start`` over the places of packed tokens; the table has the ``place`` of each sign too."""
+    packed = part.packed
+    if weights is None:
+        table, dense = packed.places.withColumn("w", F.lit(0.0)), np.zeros((1, packed.n_features))
+    else:
+        table = packed.places.join(weights.select("sign", "w"), "sign", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+        dense, _ = packed.vectors(table.where("w <> 0"), F.col("w"))
+    with packed.scanned(dense) as found:
+        return materialize(table.join(found, "place", "left").select("sign", "place", "w", *_smooth_and_scale(l2)), "state")
+
+
 def minimise(
     part: Part,
     state: DataFrame,
@@ -243,13 +265,17 @@ def minimise(
     tol: float = 1e-5,
     history: int = HISTORY,
     visit: Visit | None = None,
+    gain: float = -1.0,
 ) -> Solution:
     """Iterate from ``state`` until the pseudo-gradient is below ``tol`` times the weights' norm (1 at least).
 
-    ``part`` holds tokens of the state's features only. Each iteration writes one state and
+    ``part`` holds tokens of the state's features only, or packed ones. Each iteration writes one state and
     removes the one before, after ``visit(i, weights)`` has seen the new weights. The state
-    that is passed in stays.
+    that is passed in stays. Over packed tokens only the last state is written, and ``gain`` is
+    the share of the objective that a step must gain (on average of the last ``GAINS``) to go on.
     """
+    if part.packed:
+        return _minimise_packed(part, state, l1, l2, max_iter, tol, history, visit, gain)
     given, found, now, it = state, Solution(state), None, None
     n_features = state.count()
     for i in range(max_iter + 1):
@@ -283,6 +309,78 @@ def minimise(
     return found
 
 
+def _minimise_packed(
+    part: Part, state: DataFrame, l1: float, l2: float, max_iter: int, tol: float, history: int, visit: Visit | None, gain: float
+) -> Solution:
+    """``minimise`` over packed tokens: the same steps, with the state's columns as arrays and one pass a step."""
+    packed, found, now = part.packed, Solution(state), None
+    columns, at = packed.vectors(state, F.col("w"), F.col("g"), F.col("h"))
+    w, g, h = (c[at] for c in columns)
+    among, root, steps, changes = np.zeros(packed.n_features, bool), np.sqrt(h), [], []
+    among[at] = True
+
+    def evaluated(trials: list[np.ndarray], gradient: bool = True) -> tuple[list[float], np.ndarray]:
+        """The objective at each of the weights, and the smooth gradient at the first."""
+        dense = np.zeros((len(trials), packed.n_features))
+        dense[:, at] = trials
+        losses, slopes = packed.evaluated(dense, gradient, among)
+        return [_objective(f, t @ t, np.abs(t).sum(), l1, l2) for f, t in zip(losses, trials)], slopes[at] + l2 * trials[0]
+
+    for i in range(max_iter + 1):
+        slope = np.select([(w > 0) | (w == 0) & (g < -l1), (w < 0) | (g > l1)], [g + l1, g - l1], 0.0) if l1 else g
+        found.norm = float(np.sqrt(slope @ slope))
+        recent = found.objective[-1 - GAINS :]
+        slow = len(recent) > GAINS and recent[0] - recent[-1] <= GAINS * gain * abs(recent[-1])
+        if found.norm <= tol * max(1.0, np.sqrt(w @ w)) or slow or i == max_iter:
+            break
+        free = (w != 0) | (slope != 0) if l1 else slice(None)  # what may move: steps of the others tell nothing
+        pairs = [(s[free], y[free]) for s, y in zip(steps, changes)]
+        pairs = [(s, y) for s, y in pairs if s @ y > 1e-14 * (y @ y)]
+        basis = [*[s for s, _ in pairs], *[y for _, y in pairs], (slope * root)[free]]
+        by = coefficients(np.array([[a @ b for b in basis] for a in basis]))
+        direction = np.zeros(len(w))
+        direction[free] = root[free] * sum(factor * a for factor, a in zip(by, basis))
+        if l1:  # a weight leaves 0 down the slope only
+            direction = np.where((w != 0) | (direction * slope < 0), direction, 0.0)
+        side = np.where(w != 0, np.sign(w), -np.sign(slope))
+
+        def stepped(alpha: float) -> np.ndarray:
+            moved = w + alpha * direction
+            return np.where(np.sign(moved) == side, moved, 0.0) if l1 else moved
+
+        def lower(t: np.ndarray, value: float) -> bool:
+            return value <= now + SUFFICIENT * min((t - w) @ slope, 0.0) + ROUNDING * abs(now)
+
+        t = stepped(1.0)
+        values, smooth = evaluated([t] if i else [t, w])
+        value = values[0]
+        if not i:
+            now = values[1]
+        if not lower(t, value):
+            for begin in range(1, TRIALS, GROUP):
+                trials = [stepped(0.5**j) for j in range(begin, min(begin + GROUP, TRIALS))]
+                values, _ = evaluated(trials, gradient=False)
+                t = next((t for t, f in zip(trials, values) if lower(t, f)), None)
+                if t is not None:
+                    break
+            else:
+                if not steps:  # nothing below rounding is left
+                    break
+                steps, changes = [], []  # once more, straight down the slope
+                continue
+            (value,), smooth = evaluated([t])
+        if not found.objective:
+            found.objective.append(now)
+        found.objective.append(value)
+        steps, changes = [*steps, (t - w) / root][-history:], [*changes, (smooth - g) * root][-history:]
+        w, g, now = t, smooth, value
+        if visit:
+            visit(i, packed.table(at, w=w).where(F.col("w") != 0).select("sign", "w"))
+    if found.objective:
+        found.state = materialize(packed.table(at, w=w, g=g, h=h), "state")
+    return found
+
+
 @dataclass
 class Stage:
     """One stage of the path: its l1 term, how many features it fitted and how many had come back."""
