@@ -31,6 +31,8 @@ from adloom.workspace import materialize, release
 THETA = 4.0
 TOL_L2 = 1e-5
 TOL_ELASTIC = 1e-4
+# Fixed value: the replaced OWL-QN's length of history.
+PATH_HISTORY = 10
 
 
 #: Most features, counted, whose names and weights may go to the driver.
@@ -122,7 +124,7 @@ def _fit(
         return ConvexFit(weights, history_frame(spark, [measured(len(objective) - 1, weights)]), objective=objective)
 
     tokens = explode_tokens(train)
-    part = (packed_part(tokens, features) if solver == "tables" else None) or training_part(tokens, features)
+    part = packed_part(tokens, features) or training_part(tokens, features)
     history: list[tuple] = []
     objective: list[float] = []
     # Instances without any known feature have score 0 whatever the weights.
@@ -134,7 +136,9 @@ def _fit(
             on_iteration(len(history) - 1, weights)
 
         steps, bound = (max_iter, tol) if last else (min(max_iter, EARLY_STEPS), max(tol, EARLY))
-        found = minimise(own, first, goal, l2, steps, bound, visit=visit if on_iteration else None)
+        # Over packed tokens the path's fits end as those of the driver's solver do.
+        options = {"history": PATH_HISTORY, "gain": bound} if own.packed and solver == "path" else {}
+        found = minimise(own, first, goal, l2, steps, bound, visit=visit if on_iteration else None, **options)
         objective.extend((f + rest) / max(n, 1) for f in found.objective)
         weights = materialize(found.weights, "weights")
         if found.state is not first:
@@ -142,7 +146,7 @@ def _fit(
         return weights
 
     def by_survivors(own: Part, surviving: DataFrame, goal: float, last: bool) -> DataFrame:
-        if on_iteration or not _few(surviving):
+        if own.packed or on_iteration or not _few(surviving):
             return by_tables(own, surviving, goal, last)
         rows = materialize(_token_names(own.tokens), "rows")
         size = rows.count()

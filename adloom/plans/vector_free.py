@@ -412,10 +412,13 @@ def elastic_path(
         returned = 0
         while True:
             n = surviving.count()
-            tokens = lookup_join(part.tokens, surviving.select("sign"), "sign", "left_semi", right_rows=n, hot=part.hot)
-            own = Part(materialize(tokens, "survivors"), part.n_instances, part.hot)
-            weights = solve(own, surviving, goal, last)
-            release(own.tokens)
+            if part.packed:  # weights of all others are 0 in a pass
+                weights = solve(part, surviving, goal, last)
+            else:
+                tokens = lookup_join(part.tokens, surviving.select("sign"), "sign", "left_semi", right_rows=n, hot=part.hot)
+                own = Part(materialize(tokens, "survivors"), part.n_instances, part.hot)
+                weights = solve(own, surviving, goal, last)
+                release(own.tokens)
             now = start(part, features, l2, weights)
             release(whole)
             whole = now

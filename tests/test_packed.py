@@ -83,6 +83,19 @@ def test_l2_fit_needs_few_jobs_a_step(spark, data, monkeypatch):
     assert fits[0].objective == pytest.approx(fits[1].objective, rel=1e-9)
 
 
+def test_path_reads_packed_tokens_and_ends_at_the_optimum(spark, data, monkeypatch):
+    train, features, x, y = data
+    written = []
+    for module in (convex, vector_free):
+        plain = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, name, *a, plain=plain: written.append(name) or plain(df, name, *a))
+    fit = convex.train_lr_elastic(train, train, features, l1=6.0, l2=0.05, tol=1e-13, solver="path", resolution=4)
+    w = vector(fit, x.shape[1])
+    assert not {"survivors", "rows"} & set(written) and len(fit.stages) > 2  # no stage copies the tokens
+    assert np.abs(pseudo(x, y, w, 6.0, 0.05)).max() < 1e-2 and 0 < (w != 0).sum() < x.shape[1]
+    assert fit.objective[-1] == pytest.approx((np.logaddexp(0, x @ w) - y * (x @ w)).sum() / len(y) + (0.025 * w @ w + 6 * np.abs(w).sum()) / len(y))
+
+
 def test_many_features_and_hot_instances_are_not_packed(spark, no_broadcast, data):
     from adloom.operators.tokens import explode_tokens
 
